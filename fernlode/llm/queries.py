@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fernlode.llm import packing, splitting, tokens
+from fernlode.llm import lookalike, packing, splitting, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,13 @@ def _config(spark: SparkSession, sf_dir: str, key: str) -> dict:
     return json.loads(row[0]) if row and row[0] else {}
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities = lookalike.readings(_table(spark, sf_dir, "entities"), "id", "name")
+    documents = lookalike.readings(_table(spark, sf_dir, "documents"), "doc_id", "normalized_text")
+    rows = entities.withColumn("kind", F.lit("entity")).unionByName(documents.withColumn("kind", F.lit("document")))
+    return lookalike.same_reading_pairs(rows, ["kind"])
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_texts(_table(spark, sf_dir, "documents"))
 
@@ -42,6 +50,6 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_bins, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p4_found, p6_ids, p7_bins, p8_pieces)}
 
 SQL: dict[str, str] = {}
