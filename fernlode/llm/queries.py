@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernlode.llm import lookalike, packing, splitting, tokens
+from fernlode.llm import lookalike, neighbours, packing, splitting, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,27 @@ def _config(spark: SparkSession, sf_dir: str, key: str) -> dict:
     return json.loads(row[0]) if row and row[0] else {}
 
 
+def _both_tables(spark: SparkSession, sf_dir: str, **settings) -> DataFrame:
+    """Neighbours within vec_index (kind chunk) and within entities (kind entity)."""
+    chunks = neighbours.nearest(_table(spark, sf_dir, "vec_index"), id_col="chunk_id", **settings)
+    entities = neighbours.nearest(_table(spark, sf_dir, "entities"), id_col="id", **settings)
+    return chunks.withColumn("kind", F.lit("chunk")).unionByName(entities.withColumn("kind", F.lit("entity")))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = _both_tables(spark, sf_dir, k=10, min_similarity=0.90)
+    pair = (F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b"))
+    return near.select("kind", *pair).distinct()
+
+
+def p2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set, every hundredth id, against all rows; most leaves are visited, as
+    the neighbours of most vectors are hardly nearer than the rest."""
+    k = _config(spark, sf_dir, "search").get("topK", 10)
+    near = _both_tables(spark, sf_dir, k=k, queries="id % 100 = 0", trees=4, visits=160, leaf_rows=1000)
+    return near.select("kind", "id", "neighbour", F.round("similarity", 6).alias("similarity"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities = lookalike.readings(_table(spark, sf_dir, "entities"), "id", "name")
     documents = lookalike.readings(_table(spark, sf_dir, "documents"), "doc_id", "normalized_text")
@@ -50,6 +71,6 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p6_ids, p7_bins, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_topk, p4_found, p6_ids, p7_bins, p8_pieces)}
 
 SQL: dict[str, str] = {}
