@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernlode.llm import lookalike, neighbours, packing, splitting, tokens
+from fernlode.llm import lookalike, neighbours, packing, splitting, tokens, variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def p2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("kind", "id", "neighbour", F.round("similarity", 6).alias("similarity"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.pairs(variants.resolve(_table(spark, sf_dir, "entities")))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities = lookalike.readings(_table(spark, sf_dir, "entities"), "id", "name")
     documents = lookalike.readings(_table(spark, sf_dir, "documents"), "doc_id", "normalized_text")
@@ -71,6 +75,6 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_topk, p4_found, p6_ids, p7_bins, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_topk, p3_found, p4_found, p6_ids, p7_bins, p8_pieces)}
 
 SQL: dict[str, str] = {}
