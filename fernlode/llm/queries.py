@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernlode.llm import lookalike, neighbours, packing, splitting, tokens, variants
+from fernlode.llm import furniture, lookalike, neighbours, packing, splitting, tokens, variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.same_reading_pairs(rows, ["kind"])
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return furniture.furniture_lines(_table(spark, sf_dir, "documents"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_texts(_table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,6 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_topk, p3_found, p4_found, p6_ids, p7_bins, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_topk, p3_found, p4_found, p5_found, p6_ids, p7_bins, p8_pieces)}
 
 SQL: dict[str, str] = {}
