@@ -33,7 +33,7 @@ TEMPLATE_SHARE, TEMPLATE_PAGES = 0.3, 6
 
 # Headings of listings beside the article.
 LISTINGS = (
-    "tags|related articles|you might also like|advertisement|sponsored|recent comments|most read|popular posts|"
+    "tags|related articles|you might also like|advertisement|sponsored|recent comments|most read|most read this week|popular posts|popular downloads|"
     "anzeige|ähnliche beiträge|schlagwörter|meistgelesen|neueste kommentare|gesponsert|"
     "相关阅读|热门文章|标签云|排行榜|推广信息|广告|最新评论|猜你喜欢"
 ).split("|")
@@ -292,7 +292,10 @@ def judge_page(page: list[tuple]) -> list[int]:
             k += 1
             continue
         is_menu = leaves > 0 and (menu == leaves or (leaves >= 3 and menu >= leaves - 1)) and kind in (LINKS, BULLET, TITLE, SENTENCE)
-        if listing:
+        # an unknown heading right above links or tags, two at least, heads a listing as well
+        below = [x[1] for x in page[k + 1 : k + 3]]
+        heads = kind in (TITLE, HEADING) and k > 0 and len(below) == 2 and below[0] == below[1] and below[0] in (TAG, LINKS)
+        if listing or heads:
             out.add(no)
             k = _slot(page, k + 1, out)
             continue

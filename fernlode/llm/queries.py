@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernlode.llm import furniture, lookalike, neighbours, packing, splitting, tokens, variants
+from fernlode.llm import furniture, lookalike, neighbours, packing, residue, splitting, tokens, variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def _config(spark: SparkSession, sf_dir: str, key: str) -> dict:
     return json.loads(row[0]) if row and row[0] else {}
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_documents(_table(spark, sf_dir, "documents"))
+
+
 def _both_tables(spark: SparkSession, sf_dir: str, **settings) -> DataFrame:
     """Neighbours within vec_index (kind chunk) and within entities (kind entity)."""
     chunks = neighbours.nearest(_table(spark, sf_dir, "vec_index"), id_col="chunk_id", **settings)
@@ -79,6 +83,6 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_topk, p3_found, p4_found, p5_found, p6_ids, p7_bins, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_topk, p3_found, p4_found, p5_found, p6_ids, p7_bins, p8_pieces)}
 
 SQL: dict[str, str] = {}
