@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernlode.llm.forest import Forest
+from fernlode.session import materialize
 
 #: Bound of the sample that the forest is fitted on.
 SAMPLE_ROWS = 40_000
@@ -29,6 +30,8 @@ TREES = 2
 VISITS = 3
 #: Vectors that a routing task holds before it sends its blocks.
 HELD_ROWS = 60_000
+#: Rows of copies up to which they are sent to all tasks; beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 #: Rows of a leaf that are compared at once.
 BLOCK_ROWS = 2048
 
@@ -97,7 +100,9 @@ def _copies(rows: DataFrame) -> DataFrame:
     """
     keyed = rows.select("id", F.xxhash64("vector").alias("h"), F.hash("vector").alias("g"))
     groups = keyed.groupBy("h", "g").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    return keyed.join(groups, ["h", "g"]).select("id", "first", "copies")
+    groups = materialize(groups, "copied")
+    small = groups.count() <= BROADCAST_ROWS
+    return materialize(keyed.join(F.broadcast(groups) if small else groups, ["h", "g"]).select("id", "first", "copies"), "copies")
 
 
 def _leaf_numbers(leaf: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +235,7 @@ def nearest(
     spare = copies.where("id != first")
     n_spare = spare.count()
     if n_spare:
-        spare = F.broadcast(spare) if n_spare <= 100_000 else spare
+        spare = F.broadcast(spare) if n_spare <= BROADCAST_ROWS else spare
         asked = asked.join(spare.select("id"), "id", "left_anti")
     blocks = asked.select("id", "vector", "asked").mapInArrow(route, "leaf long, role int, n int, block binary")
     near = blocks.groupBy("leaf").applyInArrow(search, "id long, neighbour long, similarity double").distinct()
