@@ -28,6 +28,9 @@ LEAF_ROWS = 1000
 TREES = 2
 #: Leaves beside its own that a vector visits, over all trees.
 VISITS = 3
+#: Neighbouring leaves that one task searches, as a power of two: a vector that visits several of
+#: them travels once.
+CELL_BITS = 4
 #: Vectors that a routing task holds before it sends its blocks.
 HELD_ROWS = 60_000
 #: Rows of copies up to which they are sent to all tasks; beyond it they are joined by a shuffle.
@@ -105,9 +108,13 @@ def _copies(rows: DataFrame) -> DataFrame:
     return materialize(keyed.join(F.broadcast(groups) if small else groups, ["h", "g"]).select("id", "first", "copies"), "copies")
 
 
-def _leaf_numbers(leaf: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(leaf.ravel(), kind="stable")
-    return leaf.ravel()[order], order // slots
+def _pack_places(places: np.ndarray) -> bytes:
+    return zstandard.compress(np.diff(np.sort(places), prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+
+
+def _unpack_places(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64))
 
 
 def nearest(
@@ -144,6 +151,7 @@ def nearest(
         sample = rows.select("vector").limit(SAMPLE_ROWS).toArrow()
     depth = max(0, min(math.ceil(math.log2(max(n_rows, 1) / leaf_rows)), int(math.log2(sample.num_rows / 8 + 1))))
     forest = Forest(_unit(_matrix(sample["vector"].combine_chunks(), dim)), trees, depth) if depth else None
+    bits = min(CELL_BITS, depth)
     shared = spark.sparkContext.broadcast(forest)  # bounded: trees * 2^depth normals, depth <= log2(SAMPLE_ROWS / 8)
     asked = rows.withColumn("asked", F.expr(queries) if queries else F.lit(True))
 
@@ -154,7 +162,7 @@ def nearest(
             ids, vectors, ask = (np.concatenate(x) for x in zip(*held))
             held.clear()
             tree = shared.value
-            if tree is None:
+            if tree is None:  # few rows: one leaf
                 home, visited = np.zeros((len(ids), 1), np.int64), np.zeros((len(ids), 0), np.int64)
             elif ask.all():
                 home, visited = tree.route(_unit(vectors), visits)
@@ -163,22 +171,28 @@ def nearest(
                 visited = np.zeros((len(ids), visits), np.int64)
                 if ask.any():
                     visited[ask] = tree.route(_unit(vectors[ask]), visits)[1]
+            who = [np.repeat(np.arange(len(ids)), home.shape[1])]
+            leaf, role = [home.ravel()], [np.zeros(home.size, np.int64)]
+            if visited.size:  # only what is asked for visits other leaves
+                who.append(np.repeat(np.flatnonzero(ask), visited.shape[1]))
+                leaf.append(visited[ask].ravel())
+                role.append(np.ones(len(leaf[-1]), np.int64))
+            who, leaf, role = (np.concatenate(x) for x in (who, leaf, role))
+            number, tree_no = leaf // trees, leaf % trees
+            cell = (number >> bits) * trees + tree_no
+            mark = ((number & ((1 << bits) - 1)) << 1) | role
+            order = np.argsort(cell, kind="stable")
+            edges = np.flatnonzero(np.diff(cell[order])) + 1
+            marks = ids * 2 + ask
             out: list[tuple] = []
-            for role, leaf in ((0, home), (1, visited)):
-                if not leaf.size:
-                    continue
-                numbers, at = _leaf_numbers(leaf, leaf.shape[1])
-                if role:  # only what is asked for visits other leaves
-                    numbers, at = numbers[ask[at]], at[ask[at]]
-                edges = np.flatnonzero(np.diff(numbers)) + 1
-                for part, leaf_rows_ in zip(np.split(numbers, edges), np.split(at, edges)):
-                    if len(part):
-                        marks = np.where(ask[leaf_rows_], ids[leaf_rows_] * 2 + 1, ids[leaf_rows_] * 2)
-                        out.append((int(part[0]), role, len(part), _pack(marks, vectors[leaf_rows_])))
+            for at in np.split(order, edges):
+                rows_, inverse = np.unique(who[at], return_inverse=True)
+                places = (inverse << (bits + 1)) | mark[at]
+                out.append((int(cell[at[0]]), len(rows_), _pack(marks[rows_], vectors[rows_]), _pack_places(places)))
             columns = zip(*out) if out else [[]] * 4
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, kinds)], names=["leaf", "role", "n", "block"]
+                [pa.array(c, t) for c, t in zip(columns, kinds)], names=["cell", "n", "block", "places"]
             )
 
         count = 0
@@ -199,35 +213,37 @@ def nearest(
             yield from send()
 
     def search(table: pa.Table) -> pa.Table:
-        role, n, blocks = (table[c].to_pylist() for c in ("role", "n", "block"))
-        sides: list[tuple[np.ndarray, np.ndarray]] = []
-        for r in (0, 1):
-            parts = [_unpack(b, m, dim) for x, m, b in zip(role, n, blocks) if x == r]
-            sides.append(tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int64), np.empty((0, dim), np.float32)))
-        ids, at = sides[0][0] >> 1, _unit(sides[0][1]) if len(sides[0][0]) else sides[0][1]
-        asks = np.concatenate([sides[0][0], sides[1][0]])
-        who = _unit(np.concatenate([sides[0][1], sides[1][1]])) if len(asks) else sides[1][1]
-        who, asks = who[(asks & 1) == 1], asks[(asks & 1) == 1] >> 1
+        blocks = [_unpack(b, n, dim) for n, b in zip(table["n"].to_pylist(), table["block"].to_pylist())]
+        starts = np.cumsum([0, *(len(i) for i, _ in blocks)])
+        marks = np.concatenate([i for i, _ in blocks])
+        unit = _unit(np.concatenate([v for _, v in blocks]))
+        ids, asked_ = marks >> 1, (marks & 1) == 1
+        places = np.concatenate([_unpack_places(p) + (s << (bits + 1)) for p, s in zip(table["places"].to_pylist(), starts)])
+        row, sub, role = places >> (bits + 1), (places >> 1) & ((1 << bits) - 1), places & 1
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for a in range(0, len(who) if len(ids) else 0, BLOCK_ROWS):
-            s = who[a : a + BLOCK_ROWS] @ at.T
-            mine = asks[a : a + BLOCK_ROWS]
-            if min_similarity > -1:
-                x, y = np.nonzero(s >= min_similarity - 1e-5)
-            else:
-                m = min(k + 1, s.shape[1])
-                y = np.argpartition(-s, m - 1, axis=1)[:, :m].ravel()
-                x = np.repeat(np.arange(len(s)), m)
-            other = mine[x] != ids[y]
-            x, y = x[other], y[other]
-            # the last word in double precision
-            exact = np.einsum("ij,ij->i", who[a + x].astype(np.float64), at[y].astype(np.float64))
-            x, y, exact = (v[exact >= min_similarity] for v in (x, y, exact))
-            order = np.lexsort((ids[y], -exact, x))
-            x, y, exact = x[order], y[order], exact[order]
-            nth = np.arange(len(x)) - np.searchsorted(x, x)
-            top = nth < k
-            found.append((mine[x[top]], ids[y[top]], exact[top]))
+        for leaf in range(1 << bits):
+            here = sub == leaf
+            at, who = row[here & (role == 0)], row[here & asked_[row]]
+            for a in range(0, len(who) if len(at) else 0, BLOCK_ROWS):
+                mine = who[a : a + BLOCK_ROWS]
+                s = unit[mine] @ unit[at].T
+                if min_similarity > -1:
+                    x, y = np.nonzero(s >= min_similarity - 1e-5)
+                else:
+                    m = min(k + 1, s.shape[1])
+                    y = np.argpartition(-s, m - 1, axis=1)[:, :m].ravel()
+                    x = np.repeat(np.arange(len(s)), m)
+                left, right = mine[x], at[y]
+                other = ids[left] != ids[right]
+                x, left, right = x[other], left[other], right[other]
+                # the last word in double precision
+                exact = np.einsum("ij,ij->i", unit[left].astype(np.float64), unit[right].astype(np.float64))
+                near_ = exact >= min_similarity
+                x, left, right, exact = x[near_], left[near_], right[near_], exact[near_]
+                order = np.lexsort((ids[right], -exact, x))
+                x, left, right, exact = x[order], left[order], right[order], exact[order]
+                top = np.arange(len(x)) - np.searchsorted(x, x) < k
+                found.append((ids[left[top]], ids[right[top]], exact[top]))
         columns = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64)] * 2 + [np.empty(0)]
         return pa.table({"id": columns[0], "neighbour": columns[1], "similarity": columns[2].astype(np.float64)})
 
@@ -237,8 +253,8 @@ def nearest(
     if n_spare:
         spare = F.broadcast(spare) if n_spare <= BROADCAST_ROWS else spare
         asked = asked.join(spare.select("id"), "id", "left_anti")
-    blocks = asked.select("id", "vector", "asked").mapInArrow(route, "leaf long, role int, n int, block binary")
-    near = blocks.groupBy("leaf").applyInArrow(search, "id long, neighbour long, similarity double").distinct()
+    blocks = asked.select("id", "vector", "asked").mapInArrow(route, "cell long, n int, block binary, places binary")
+    near = blocks.groupBy("cell").applyInArrow(search, "id long, neighbour long, similarity double").distinct()
     if n_spare:
         near = _with_copies(near, copies, k, queries)
     return _top(near, k)
