@@ -27,10 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder of spark.checkpoint.dir; only where that is unset (tests) a local one is set."""
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
+    own = context._jsc.sc().getCheckpointDir()
     if not path:
-        path = "file:///tmp/fernlode-shared-" + str(os.getuid())
-        spark.conf.set("spark.checkpoint.dir", path)
-    if not context._jsc.sc().getCheckpointDir().isDefined():
+        path = own.get() if own.isDefined() else f"file:///tmp/fernlode-shared-{os.getuid()}"
+    if not own.isDefined():
         context.setCheckpointDir(path)
     return path.rstrip("/")
 
