@@ -299,7 +299,8 @@ def judge_page(page: list[tuple]) -> list[int]:
             out.add(no)
             k = _slot(page, k + 1, out)
             continue
-        if kind == TAG or talk or (fixed and kind not in (SENTENCE,)) or (fixed and kind == SENTENCE) or crumb or is_menu:
+        # a heading alone is the article's, however often a host repeats it
+        if kind == TAG or talk or (fixed and kind != HEADING) or crumb or is_menu:
             out.add(no)
         k += 1
     return sorted(out)

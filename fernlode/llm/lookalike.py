@@ -12,6 +12,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -61,8 +62,9 @@ def normalize(df: DataFrame, col: str, out: str = "normal", fold: bool = True) -
     function = folded if fold else reading
 
     @F.pandas_udf("string")
-    def form(values):  # noqa: ANN001, ANN202
-        return values.map({v: function(v) for v in values.dropna().unique()})
+    def form(values: pd.Series) -> pd.Series:
+        memo = {v: function(v) for v in values.dropna().unique()}
+        return pd.Series([memo.get(v) for v in values], dtype=object)
 
     return df.withColumn(out, form(F.col(col)))
 

@@ -10,6 +10,7 @@ check drops hits that stand in code or are mentioned.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,16 +37,17 @@ _SLOT_NAME = r"[\w.\- ]{1,40}"
 SLOTS = (
     rf"\{{\{{\s*{_SLOT_NAME}\s*\}}\}}|\$\{{\s*{_SLOT_NAME}\s*\}}|<%=?\s*{_SLOT_NAME}\s*%>|%%{_SLOT_NAME}%%|@@{_SLOT_NAME}@@|"
     rf"__[^\W_][\w.\-]{{0,38}}?__|«{_SLOT_NAME}»|\[\[{_SLOT_NAME}\]\]|#[^\W\d]\w{{1,30}}#|"
-    rf"\$[^\W\d][\w ]{{1,30}}\$|\bxx[^\W\d]\w{{1,30}}?xx|[【\[<](?:待填|此处填|请填写)[^】\]>]{{0,30}}[】\]>]|"
+    rf"\$[^\W\d][\w ]{{1,30}}\$|xx[^\W\d]\w{{1,30}}?xx|[【\[<](?:待填|此处填|请填写)[^】\]>]{{0,30}}[】\]>]|"
     rf"[【\[<]bitte [^】\]>]{{1,30}}eintragen[】\]>]|"
-    rf"[【\[<](?:your|add|enter|insert) {_SLOT_NAME}[】\]>]|\{{[^\W\d]\w{{2,30}}\}}|#ref!|#name\?|\[object object\]|\bnull null\b|\(null\)"
+    rf"[【\[<](?:your|add|enter|insert) {_SLOT_NAME}[】\]>]|\{{[^\W\d]\w{{1,30}}\}}|#ref!|#name\?|\[object object\]|\bnull null\b|\(null\)"
 )
 BLANKS = r"(?:by|for|dear|to|于|为|尊敬的|für|and|zwischen|und|von|ab|在|与|由) ?(?:undefined|nan|null)\b"
 FILLER = (
     r"(?:占位){3,}|(?:正文){3,}|(?:示例文字){2,}|(?:text ){2,}text|(?:body text ){2,}|(?:asdf ?){2,}|(?:qwer ?){2,}|(?:xxxx ?){2,}|"
     r"\b(?:click|double-click|tap) (?:here )?to (?:add|edit)\b|单击此处(?:添加|编辑)|type something here|add your caption|"
     r"^placeholder paragraph|^\(?本节待撰写\)?|^tb[cd]\b|^to be (?:written|done)\b|^coming soon\.?$|^section title$|"
-    r"^(?:text hier|platzhaltertext|hier steht ihr text)"
+    r"^(?:text hier|platzhaltertext|hier steht (?:ihr|später der))|(?:blindtext ){2,}|^mustertext|此处填写(?:正文|内容)|(?:sample text goes here)|"
+    r"^replace this paragraph|^this is a dummy section|(?:test ){4,}"
 )
 ERRORS = (
     r"^(?:error )?[45]\d\d[ :\-]+(?:not found|bad gateway|forbidden|internal server error|service unavailable|gateway time-?out|"
@@ -57,12 +59,14 @@ ERRORS = (
     r"^this content is not available in your|^your session has ended|^sign in again to continue|^too many requests|^you have been slowed down|"
     r"^checking that you are not a robot|^tick the box below|^zugriff verweigert|^seite nicht gefunden|^für /\S+ fehlt ihnen|"
     r"^附件 ?\S+ ?已失效|^图表 ?\S+ ?加载失败|^抱歉,您没有权限|^请联系管理员|^请刷新页面|^系统繁忙|^服务器开小差|^该文章已被|^登录已超时|^请重新登录|"
+    r"^【错误】|^数据接口 ?\S+ ?返回异常|^访问过于频繁|^unter /\S+ liegt kein inhalt|^it may have been renamed or removed|"
     r"^您访问的(?:地址|页面)|^页面不存在|^bitte versuchen sie es später"
 )
 SCRIPTS = (
     r"^(?:您的)?浏览器(?:未开启|不支持)脚本|^本应用需要 ?javascript|^检测到脚本被禁用|^页面加载中,请确认已允许运行脚本|^javascript is (?:disabled|required)|"
     r"^scripts are blocked|^(?:please )?(?:enable|switch on|turn on) javascript|^you need to (?:switch on|enable) javascript|"
-    r"^your browser does not support script|^diese anwendung benötigt aktiviertes|^bitte aktivieren sie javascript|^ohne (?:javascript|skripte)"
+    r"^your browser does not support script|^diese anwendung benötigt aktiviertes|^bitte aktivieren sie javascript|^ohne (?:javascript|skripte)|"
+    r"^请启用 ?javascript|^this site requires javascript|^switch js on|^loading\.\.\. if nothing happens, allow scripts"
 )
 
 
@@ -173,6 +177,13 @@ def features(batch: list[tuple[str, bool, bool]]) -> tuple[np.ndarray, np.ndarra
         rows.append(row[:n][inside])
         cols.append((h[inside] >> np.uint64(64 - BITS)).astype(np.int64))
         values.append(1.0 / np.sqrt(np.maximum(length[rows[-1]] - order + 1, 1)))
+    # a short sentence is a feature as a whole
+    short = [(k, zlib.crc32(s.encode("utf-8", "surrogatepass")) & (size - 1)) for k, (s, _, _) in enumerate(batch) if len(s) <= 24]
+    if short:
+        at, whole = np.array(short).T
+        rows.append(at)
+        cols.append(whole)
+        values.append(np.ones(len(at)))
     every = np.arange(len(batch))
     bucket = np.minimum(np.log2(np.maximum(length, 1)).astype(np.int64), 10)
     first = np.array([f for _, f, _ in batch])
@@ -209,7 +220,8 @@ def labelled(documents: DataFrame, n_docs: int, id_col: str = "doc_id", text_col
                     label = weak_label(one[0])
                     if label is None:
                         # short lines are few sentences in number but many in kind
-                        if (k * 7919 + len(one[0])) % 100 >= PLAIN_SHARE * (8 if len(one[0]) < 40 else 1):
+                        share_ = PLAIN_SHARE * (8 if len(one[0]) < 40 else 1)
+                        if zlib.crc32(f"{len(text)} {one[0]}".encode("utf-8", "surrogatepass")) % 100 >= share_:
                             continue
                         label = 0
                     kept.append(one)
