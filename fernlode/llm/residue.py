@@ -258,7 +258,7 @@ def train(rows: DataFrame) -> tuple[np.ndarray, float]:
     # the rarer label counts as much as the other one, within reason
     weight = float(np.clip(kinds[0.0] / kinds[1.0], 1, 20))
     data = _vectors(rows).withColumn("w", F.when(F.col("label") == 1, weight).otherwise(1.0)).persist()
-    fit = LogisticRegression(regParam=REGULARISATION, elasticNetParam=0.0, maxIter=40, tol=1e-4, standardization=False, weightCol="w", aggregationDepth=2)
+    fit = LogisticRegression(regParam=REGULARISATION, elasticNetParam=0.0, maxIter=100, tol=1e-4, standardization=False, weightCol="w", aggregationDepth=2)
     model = fit.fit(data)
     data.unpersist()
     return model.coefficients.toArray(), float(model.intercept)
