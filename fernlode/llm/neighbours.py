@@ -128,6 +128,7 @@ def nearest(
     trees: int = TREES,
     visits: int = VISITS,
     leaf_rows: int = LEAF_ROWS,
+    visit_share: float = 0.0,
     n_rows: int | None = None,
 ) -> DataFrame:
     """(id, neighbour, similarity): up to k most similar other vectors of each vector.
@@ -136,6 +137,8 @@ def nearest(
     with null or NaN entries take no part; an empty table has no result. Exact copies of a vector
     are compared once and share its neighbours, each copy counting as a neighbour of its own.
     min_similarity leaves out less similar ones, which makes the search cheap for near pairs.
+    visit_share: visits at least this share of all leaves, for data whose neighbours are hardly nearer
+    than the rest, where a fixed number of visits finds less the more rows there are.
     queries: an SQL condition on `id`; only those rows are asked for, against all rows.
     """
     spark = df.sparkSession
@@ -151,6 +154,7 @@ def nearest(
         sample = rows.select("vector").limit(SAMPLE_ROWS).toArrow()
     depth = max(0, min(math.ceil(math.log2(max(n_rows, 1) / leaf_rows)), int(math.log2(sample.num_rows / 8 + 1))))
     forest = Forest(_unit(_matrix(sample["vector"].combine_chunks(), dim)), trees, depth) if depth else None
+    visits = max(visits, math.ceil(visit_share * trees * 2**depth))
     bits = min(CELL_BITS, depth)
     shared = spark.sparkContext.broadcast(forest)  # bounded: trees * 2^depth normals, depth <= log2(SAMPLE_ROWS / 8)
     asked = rows.withColumn("asked", F.expr(queries) if queries else F.lit(True))

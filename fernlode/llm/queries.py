@@ -41,7 +41,7 @@ def p2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stated query set, every hundredth id, against all rows; most leaves are visited, as
     the neighbours of most vectors are hardly nearer than the rest."""
     k = _config(spark, sf_dir, "search").get("topK", 10)
-    near = _both_tables(spark, sf_dir, k=k, queries="id % 100 = 0", trees=4, visits=160, leaf_rows=1000)
+    near = _both_tables(spark, sf_dir, k=k, queries="id % 100 = 0", trees=4, visits=160, visit_share=0.12)
     return near.select("kind", "id", "neighbour", F.round("similarity", 6).alias("similarity"))
 
 
