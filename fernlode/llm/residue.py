@@ -235,6 +235,8 @@ def labelled(documents: DataFrame, n_docs: int, id_col: str = "doc_id", text_col
             yield pd.DataFrame({"host": hosts, "label": labels, "cols": np.split(col[order], edges), "values": np.split(value[order], edges)})
 
     pairs = rows.select(F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    # the sample is bounded; spread, as a few files may hold all of it
+    pairs = pairs.repartition(max(2, documents.sparkSession.sparkContext.defaultParallelism))
     return pairs.mapInPandas(run, "host string, label double, cols array<long>, values array<double>")
 
 
@@ -252,14 +254,17 @@ def _vectors(rows: DataFrame) -> DataFrame:
 
 def train(rows: DataFrame) -> tuple[np.ndarray, float]:
     """Weights and bias, fitted by Spark; with a single label, a model that finds nothing."""
-    kinds = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+    data = _vectors(rows).persist()
+    kinds = {r[0]: r[1] for r in data.groupBy("label").count().collect()}
     if len(kinds) < 2:
+        data.unpersist()
         return np.zeros(WIDTH), -30.0
     # the rarer label counts as much as the other one, within reason
     weight = float(np.clip(kinds[0.0] / kinds[1.0], 1, 20))
-    data = _vectors(rows).withColumn("w", F.when(F.col("label") == 1, weight).otherwise(1.0)).persist()
+    # few partitions, as each one sends its whole gradient every round
+    weighted = data.coalesce(4).withColumn("w", F.when(F.col("label") == 1, weight).otherwise(1.0))
     fit = LogisticRegression(regParam=REGULARISATION, elasticNetParam=0.0, maxIter=100, tol=1e-4, standardization=False, weightCol="w", aggregationDepth=2)
-    model = fit.fit(data)
+    model = fit.fit(weighted)
     data.unpersist()
     return model.coefficients.toArray(), float(model.intercept)
 
