@@ -257,6 +257,10 @@ def nearest(
     if n_spare:
         spare = F.broadcast(spare) if n_spare <= BROADCAST_ROWS else spare
         asked = asked.join(spare.select("id"), "id", "left_anti")
+        if queries:  # the first of a group searches for all of its copies
+            wanted = copies.where("id != first").where(queries).select(F.col("first").alias("id"), F.lit(True).alias("wanted")).distinct()
+            wanted = F.broadcast(wanted) if n_spare <= BROADCAST_ROWS else wanted
+            asked = asked.join(wanted, "id", "left").withColumn("asked", F.col("asked") | F.coalesce("wanted", F.lit(False)))
     blocks = asked.select("id", "vector", "asked").mapInArrow(route, "cell long, n int, block binary, places binary")
     near = blocks.groupBy("cell").applyInArrow(search, "id long, neighbour long, similarity double").distinct()
     if n_spare:

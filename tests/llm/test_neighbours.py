@@ -64,6 +64,18 @@ def test_unusable_vectors_and_copies(spark):
     assert neighbours.nearest(_frame(spark, [None, None]), 10, dim=3).count() == 0
 
 
+def test_copy_that_is_asked_for_while_its_first_is_not(spark):
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((200, 8)).astype(np.float32)
+    v[20], v[30], v[31] = v[3], v[7], v[7]  # 31 is not asked for either
+    got = neighbours.nearest(_frame(spark, v), 5, dim=8, queries="id % 10 = 0").collect()
+    per = {}
+    for r in got:
+        per.setdefault(r.id, set()).add(r.neighbour)
+    want = _exact(v, 5)
+    assert per == {i: set(want[i]) for i in range(0, 200, 10)}
+
+
 def test_many_copies_of_one_vector(spark):
     rng = np.random.default_rng(4)
     v = np.concatenate([np.tile([[1.0, 0.0, 0.0, 0.0]], (900, 1)), rng.standard_normal((900, 4))]).astype(np.float32)
