@@ -19,6 +19,9 @@ from fernlode.llm import names
 from fernlode.operators.components import connected_components
 from fernlode.session import materialize
 
+#: Rows up to which an alias that is no row's own name is not doubted.
+DOUBTED_ROWS = 4
+
 
 def _sounds(spark: SparkSession) -> tuple[dict[str, str], dict[str, str]]:
     """Latin syllable and simplified form of each character of the main Han block, by the public
@@ -70,15 +73,22 @@ def resolve(
     """(id, entity): entity is the same for rows that mean the same thing.
 
     Rows without a usable name and alias have no row. Null, empty and broken alias lists count as
-    far as they can be read. Repeated rows and equal names fall together. An alias that occurs in
-    more than four rows, or is one of GENERAL_ALIASES, links nothing.
+    far as they can be read. Repeated rows and equal names fall together. An alias in
+    GENERAL_ALIASES links nothing. One that is some row's own name, or stands in up to DOUBTED_ROWS
+    rows, links them. Any other is first compared as a spelling alone, and links all of its rows, at
+    any number, once more than half of them are found to be one thing without it; it is general if
+    its rows stay unlike.
     """
     spark = df.sparkSession
     rows = materialize(spellings(df, id_col, name_col, aliases_col), "spellings")
-    general = rows.where("not own").groupBy("form").agg(F.count("*").alias("n")).where("n > 4")
-    rows = rows.join(general.select("form", F.lit(True).alias("general")), "form", "left")
-    rows = materialize(rows.where("own or general is null").select("id", "form", "own"), "spellings")
     forms = rows.select("form").distinct()
+    owned = rows.where("own").select("form").distinct()
+    often = rows.where("not own").groupBy("form").agg(F.count_distinct("id").alias("n")).where(F.col("n") > DOUBTED_ROWS)
+    doubted = materialize(often.join(owned, "form", "left_anti").select("form"), "doubted")
+    doubt = None
+    if doubted.limit(1).count():
+        doubt = materialize(rows.where("not own").join(doubted, "form").select("id", "form").distinct(), "doubt")
+        rows = materialize(rows.join(doubted, "form", "left_anti").select("id", "form", "own"), "spellings")
     n = forms.count()
     lex = spark.sparkContext.broadcast(_lexicon(spark, forms, n))  # bounded, see _lexicon
 
@@ -141,10 +151,27 @@ def resolve(
         fresh = grown
         if grown.limit(1).count() == 0:
             named = materialize(named, "named")
-            return rows.join(named, "form").groupBy("id").agg(F.min("label").alias("entity"))
+            resolved = rows.join(named, "form").groupBy("id").agg(F.min("label").alias("entity"))
+            if doubt is None:
+                return resolved
+            agreed = materialize(_agreed(doubt, resolved), "agreed")
+            if agreed.limit(1).count() == 0:
+                return resolved
+            added = doubt.join(agreed, "form")
+            ties = added.join(rows, "id").select(F.xxhash64(rows.form).alias("a"), F.xxhash64(added.form).alias("b"))
+            edges = materialize(edges.unionByName(ties), "links")
+            rows = materialize(rows.unionByName(added.select("id", "form", F.lit(False).alias("own"))), "spellings")
+            doubt = materialize(doubt.join(agreed, "form", "left_anti"), "doubt")
         keyed = materialize(keyed.unionByName(grown), "keys")
 
 
+def _agreed(doubt: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(form): aliases of which more than half of the rows are one entity."""
+    groups = doubt.join(resolved, "id", "left").groupBy("form", "entity").agg(F.count("*").alias("n"))
+    most = F.max(F.when(F.col("entity").isNotNull(), F.col("n")))
+    return groups.groupBy("form").agg(most.alias("most"), F.sum("n").alias("n")).where("2 * most > n").select("form")
+
+
 def _recombined(named: DataFrame, keyed: DataFrame, lex) -> DataFrame:  # noqa: ANN001
     """New (form, key) rows: keys of a surname of one spelling with a given name of another one of
     the same profile. Nothing comes out once every combination has been a key."""

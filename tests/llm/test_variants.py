@@ -72,3 +72,14 @@ def test_frequent_alias_links_nothing(spark):
     rows = [(i, f"Name{chr(97 + i)} Surname{chr(97 + i)}{chr(98 + i)}x", '["Shared Alias"]') for i in range(8)]
     df = spark.createDataFrame(rows, "id long, name string, aliases_json string")
     assert variants.pairs(variants.resolve(df)).count() == 0
+
+
+def test_frequent_alias_of_one_thing_links(spark):
+    users = ["qx71", "wombat", "zebra", "lopper", "mistral"]
+    rows = [(i, u, '["Beatrix Galilutzak"]') for i, u in enumerate(users)] + [(9, "Beatrix Galilutzak", "[]")]  # some row's own name
+    agree = ["Oderwin Tamsalor", "Tamsalor, Oderwin", "Oderwinn Tamsalor", "Oderwin Tamsalorr", "falcon"]
+    rows += [(20 + i, u, '["Uncle Fogwell"]') for i, u in enumerate(agree)]  # no own name; four of five agree
+    rows += [(40 + i, f"Name{c} Surname{c}{c}x", '["Shared Alias"]') for i, c in enumerate("bcdfghk")]
+    df = spark.createDataFrame(rows, "id long, name string, aliases_json string")
+    got = sorted((r.id_a, r.id_b) for r in variants.pairs(variants.resolve(df)).collect())
+    assert got == sorted([*itertools.combinations([0, 1, 2, 3, 4, 9], 2), *itertools.combinations(range(20, 25), 2)])
