@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 from fernlode.llm.lookalike import folded
 
@@ -39,6 +39,7 @@ _FORMAL: dict[str, set[str]] = {}
 for _pair in NICKNAMES.replace("\n", " ").split(","):
     _short, _long = _pair.split()
     _FORMAL.setdefault(_short, set()).add(_long)
+GIVEN = frozenset(_FORMAL) | frozenset(x for long in _FORMAL.values() for x in long)
 
 HAN = re.compile(r"[㐀-鿿]")
 
@@ -52,6 +53,11 @@ class Lexicon:
     common: frozenset = frozenset()
     places: frozenset = frozenset()
 
+    @cached_property
+    def hot(self) -> frozenset:
+        """Frequent words and their forms with one letter less."""
+        return frozenset(s for w in self.common for s in _shorter(w))
+
 
 @dataclass
 class Name:
@@ -145,8 +151,33 @@ def _shorter(word: str) -> set[str]:
     return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
 
 
+def surname(name: Name) -> int:
+    """Which of a person's two words is the surname: by the table of given names, else by position."""
+    known = [w in GIVEN for w in name.words]
+    if known[0] != known[1]:
+        return 0 if known[1] else 1
+    return 0 if name.comma else 1
+
+
+def _fine(word: str, given: str) -> set[str]:
+    """Keys of a frequent surname with a given name, one for each way in which _given() may hold. Those
+    that end in > meet only the same that end in <, so that a beginning or an initial meets the
+    names that it may stand for, but these don't meet each other."""
+    forms = {given} | _FORMAL.get(given, set())
+    near_ = {x for f in forms for x in (_shorter(f) if len(f) >= 4 else {f})}
+    out = {"f|" + g for g in near_} | {f"h|{x[0]}>" for x in forms}
+    if len(given) >= 3:
+        out |= {f"g|{given}<"} | {f"g|{given[:n]}>" for n in range(3, len(given))}
+    return {f"{k[:2]}{s}|{k[2:]}" for k in out for s in _shorter(word)}
+
+
+def mate(key: str) -> str:
+    """The key that this one meets."""
+    return key[:-1] + {">": "<", "<": ">"}[key[-1]] if key[-1:] in (">", "<") else key
+
+
 def keys(name: Name, lex: Lexicon) -> list[str]:
-    """Blocking keys; two spellings that may match share at least one."""
+    """Blocking keys; two spellings that may match share at least one, or one has the mate() of the other's."""
     w = name.words
     if name.kind == "i":
         return ["i|" + " ".join(w) + "|" + " ".join(name.initials)]
@@ -160,7 +191,14 @@ def keys(name: Name, lex: Lexicon) -> list[str]:
     out: set[str] = set()
     if name.kind in "pq":
         for k, word in enumerate(w):
-            if len(word) < 4 or (word in lex.common and name.kind == "p"):
+            if len(word) < 4:
+                continue
+            if not lex.hot.isdisjoint(_shorter(word)):  # may be a spelling of a frequent word
+                if name.kind == "q":
+                    out |= {f"h|{s}|{x[0]}<" for s in _shorter(word) for x in name.initials}
+                elif surname(name) == k or len(w[1 - k]) < 4 or w[1 - k] in lex.common:
+                    out |= _fine(word, w[1 - k])
+            if word in lex.common and name.kind == "p":
                 continue
             rest = [w[1 - k]] if name.kind == "p" else []
             first = {x[0] for r in rest for x in {r} | _FORMAL.get(r, set())} | (set(name.initials) if not rest else set())
@@ -225,7 +263,8 @@ def compare(a: Name, b: Name, lex: Lexicon) -> int:
             for j in (0, 1):
                 s, t = a.words[i], b.words[j]
                 if min(len(s), len(t)) >= 4 and near(s, t) and _given(a.words[1 - i], b.words[1 - j]):
-                    if s in lex.common and a.words[1 - i] not in lex.common and not near(a.words[1 - i], b.words[1 - j]):
+                    frequent = s in lex.common and a.words[1 - i] not in lex.common
+                    if frequent and not near(a.words[1 - i], b.words[1 - j]) and (surname(a), surname(b)) != (i, j):
                         continue  # only the given name agrees closely
                     return 2
         return 0
@@ -233,7 +272,8 @@ def compare(a: Name, b: Name, lex: Lexicon) -> int:
         for i in (0, 1):
             given = a.words[1 - i]
             fits = {given[0]} | {x[0] for x in _FORMAL.get(given, ())}
-            if near(a.words[i], b.words[0]) and len(b.words[0]) >= 4 and a.words[i] not in lex.common and b.initials[0] in fits:
+            last = a.words[i] not in lex.common or surname(a) == i
+            if near(a.words[i], b.words[0]) and len(b.words[0]) >= 4 and last and b.initials[0] in fits:
                 return 1
         return 0
     if pair == "qq":

@@ -117,7 +117,9 @@ def resolve(
     seen = None
     while True:
         left = fresh.select("key", F.col("form").alias("a"))
-        pairs = left.join(keyed.select("key", F.col("form").alias("b")), "key").where("a != b")
+        # as names.mate()
+        mate = F.when(F.col("key").rlike("[<>]$"), F.translate("key", "<>", "><")).otherwise(F.col("key"))
+        pairs = left.join(keyed.select(mate.alias("key"), F.col("form").alias("b")), "key").where("a != b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
@@ -186,7 +188,8 @@ def _recombined(named: DataFrame, keyed: DataFrame, lex) -> DataFrame:  # noqa:
                 if name.kind == "p":
                     common = [w in lex.value.common for w in name.words]
                     k = 0 if common == [False, True] or (name.comma and common[0] == common[1]) else 1
-                    out.append((lab, form, name.words[k], name.words[1 - k]))
+                    for i in sorted({k, names.surname(name)} if any(common) else {k}):  # a frequent surname, or given name
+                        out.append((lab, form, name.words[i], name.words[1 - i]))
             yield pd.DataFrame(out, columns=["label", "form", "surname", "given"])
 
     pieces = parts.mapInPandas(split, "label long, form string, surname string, given string")
@@ -196,7 +199,7 @@ def _recombined(named: DataFrame, keyed: DataFrame, lex) -> DataFrame:  # noqa:
 
     def mix_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(f, k) for f, m in zip(pdf["form"], pdf["mix"]) for k in names.keys(names.parsed(m, lex.value), lex.value) if k.startswith("p|")]
+            out = [(f, k) for f, m in zip(pdf["form"], pdf["mix"]) for k in names.keys(names.parsed(m, lex.value), lex.value) if k.startswith(("p|", "f|", "g|", "h|"))]
             yield pd.DataFrame(out, columns=["form", "key"])
 
     return mixed.mapInPandas(mix_keys, "form string, key string").distinct().join(keyed, ["form", "key"], "left_anti")

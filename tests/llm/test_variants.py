@@ -38,6 +38,19 @@ def test_other(lex, a, b):
     assert names.compare(x, y, lex) == names.compare(y, x, lex) == 0
 
 
+def test_frequent_surname():
+    known = names.Lexicon(common=frozenset(("smith", "robert", "smiths")))
+    for a, b, want in [("Bob Smith", "Robert Smith", 2), ("Robert Smith", "R. Smith", 1), ("Bob Smith", "R. Smith", 1), ("Robert Smiht", "Bob Smith", 2),
+                       ("Smith, Robert", "Rob Smith", 2), ("Xav Smith", "Xaver Smith", 2), ("Xaver Smith", "X. Smiht", 1), ("Rboert Smith", "Robert Smith", 2),
+                       ("Xaver Smith", "Xaver Amith", 2), ("Robert Smith", "Daniel Smith", 0), ("Robert Smith", "D. Smith", 0), ("Robert S.", "Robert Smith", 0)]:
+        x, y = (names.parse(names.spelling(s), known) for s in (a, b))
+        assert names.compare(x, y, known) == names.compare(y, x, known) == want, (a, b)
+        meet = {names.mate(k) for k in names.keys(x, known)} & set(names.keys(y, known))
+        assert meet if want else not any(k[0] in "fg" for k in meet), (a, b)
+    ron, robin = (names.parse(s, known) for s in ("roberta smith", "robin smith"))
+    assert not {names.mate(k) for k in names.keys(ron, known)} & set(names.keys(robin, known)) & {"g|smith|rob<", "g|smith|rob>", "h|smith|r<"}
+
+
 def test_edits():
     letters = "abc"
     words = ["".join(w) for n in range(4) for w in itertools.product(letters, repeat=n)]
