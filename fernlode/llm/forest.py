@@ -47,8 +47,9 @@ class Forest:
                         split += [rows, rows]
                 parts = split
 
-    def route(self, vectors: np.ndarray, visits: int) -> tuple[np.ndarray, np.ndarray]:
-        """(home, visited): leaf numbers, of shape (n, trees) and (n, visits).
+    def route(self, vectors: np.ndarray, visits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(home, visited, reach): leaf numbers of shape (n, trees) and (n, visits), and how far the
+        vector lies from the splits that part it from each visited leaf.
 
         Every vector lives in one leaf of each tree. The queue of a vector holds the other sides of
         the nodes that it passed, in all trees, by the largest distance to a split on the way;
@@ -71,9 +72,11 @@ class Forest:
                 where = 2 * where + 1 + right
             home[:, t] = (where - self.nodes) * trees + t
         visited = np.zeros((n, visits), np.int64)
+        reached = np.full((n, visits), np.inf, np.float32)
         for v in range(visits):
             best = far.argmin(axis=1)
             reach = far[every, best]
+            reached[:, v] = reach
             far[every, best] = np.inf
             at = node[every, best]
             tree, where = at % trees, at // trees
@@ -89,4 +92,4 @@ class Forest:
                 node[on, base + level] = (2 * where[on] + 1 + ~right) * trees + tree[on]
                 where[on] = 2 * where[on] + 1 + right
             visited[:, v] = (where - self.nodes) * trees + tree
-        return home, visited
+        return home, visited, reached

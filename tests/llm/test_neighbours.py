@@ -35,10 +35,33 @@ def test_near_pairs_recall(spark):
     base = rng.standard_normal((3000, 16))
     v = np.concatenate([base, base[:600] + 0.15 * rng.standard_normal((600, 16))]).astype(np.float32)
     want = {(i, j) for i, near in _exact(v, 10, 0.9).items() for j in near}
-    got = neighbours.nearest(_frame(spark, v), 10, dim=16, min_similarity=0.9, leaf_rows=200).collect()
-    found = {(r.id, r.neighbour) for r in got}
-    assert found <= {(i, j) for i, near in _exact(v, 3600, 0.9).items() for j in near}
+    real = {(i, j) for i, near in _exact(v, 3600, 0.9).items() for j in near}
+    for settings in ({}, {"cell_rows": 400}):  # one cell, several cells
+        got = neighbours.nearest(_frame(spark, v), 10, dim=16, min_similarity=0.9, leaf_rows=200, **settings).collect()
+        found = {(r.id, r.neighbour) for r in got}
+        assert len(found) == len(got) and found <= real
+        assert len(want & found) >= 0.97 * len(want)
+
+
+def test_cells_in_parts_and_full_mantissa_vectors(spark, monkeypatch):
+    """A cell above its bound of rows is dealt into parts and still searched whole; what is sent stays within the disk budget."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((2500, 16))
+    v = np.concatenate([base, base[:500] + 0.1 * rng.standard_normal((500, 16))]).astype(np.float32)
+    want = {(i, j) for i, near in _exact(v, 10, 0.9).items() for j in near}
+    monkeypatch.setattr(neighbours, "SAMPLE_ROWS", 4 * neighbours.CELL_SAMPLE)
+    monkeypatch.setattr(neighbours, "MOST_CELL_ROWS", 150)
+    found = {(r.id, r.neighbour) for r in neighbours.nearest(_frame(spark, v), 10, dim=16, min_similarity=0.9, leaf_rows=50, cell_rows=150).collect()}
     assert len(want & found) >= 0.97 * len(want)
+    ids = np.arange(3000)
+    assert len(neighbours._pack(ids, rng.standard_normal((3000, 64)).astype(np.float32))) <= 0.96 * 3000 * 256
+
+
+def test_repeated_rows_count_once(spark):
+    v = [[1.0, 0.0], [1.0, 0.1], [1.0, 0.2]]
+    rows = _frame(spark, v).union(_frame(spark, v))
+    got = [(r.id, r.neighbour) for r in neighbours.nearest(rows, 10, dim=2, min_similarity=0.9).collect()]
+    assert sorted(got) == [(0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1)]
 
 
 def test_all_neighbours_with_many_visits(spark):
@@ -92,6 +115,6 @@ def test_queue_takes_the_nearest_leaves():
     v = rng.standard_normal((2000, 6)).astype(np.float32)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     tree = Forest(v, 1, 4)
-    home, seen = tree.route(v[:50], 15)
+    home, seen, _ = tree.route(v[:50], 15)
     for h, s in zip(home, seen):
         assert sorted([*h, *s]) == list(range(16))  # all sixteen leaves in the end
