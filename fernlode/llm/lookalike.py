@@ -28,13 +28,15 @@ IGNORABLE = re.compile(
 # Spaces that read as one blank, and hyphens that read as the plain one.
 _SPACES = "               　"
 _HYPHENS = "‐‑˗−"
-# Cyrillic, Greek and other letters drawn like Latin ones, in pairs.
+# Letters that the public confusables data map to one Latin letter, in pairs; capitals
+# drawn like I go to I, which those data give as l.
 _LETTERS = (
-    "аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ѵv ҽe ɡg ɑa ɩi АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT ХX УY "
-    "ѴV ԌG ԚQ ԜW οo νv αa ρp ιi υu ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX Ϲc ϲc ϳj օo սu հh ոn"
+    "ͿJ ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX αa γy ιi νv οo ρp σo υu ϜF ϱp ϲc ϳj ϹC ϺM ЅS ІI ЈJ АA ВB ЕE КK МM НH ОO РP СC "
+    "ТT УY ХX Ьb аa гr еe оo рp сc уy хx ѕs іi јj ѡw ѴV ѵv ҮY үy һh ҽe ӀI ӏi ԁd ԌG ԛq ԜW ԝw ՍU ՏS ՕO աw գq զq հh ոn ռn սu ցg քf օo "
+    "ᎠD ᎡR ᎢT Ꭵi ᎩY ᎪA ᎫJ ᎬE ᎳW ᎷM ᎻH ᎽY ᏀG Ꮒh ᏃZ Ꮟb ᏒR ᏔW ᏕS ᏙV ᏚS ᏞL ᏟC ᏢP ᏦK Ꮷd ᏳG ᏴB ᴄc ᴏo ᴜu ᴠv ᴡw ᴢz ꙇi ꬵf ꬽo ɑa ɡg ɣy ɩi ɪi ɯw ʋu ʏy"
 )
 _MAP = str.maketrans(
-    {p[0]: p[1] for p in _LETTERS.split()} | dict.fromkeys(_SPACES, " ") | dict.fromkeys(_HYPHENS, "-") | {"Ϲ": "C"}
+    {p[0]: p[1] for p in _LETTERS.split()} | dict.fromkeys(_SPACES, " ") | dict.fromkeys(_HYPHENS, "-")
 )
 
 
@@ -96,23 +98,39 @@ def readings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "id long, raw binary, form binary").where("form is not null")
 
 
+#: Rows of one text, or texts of one form, that one key of a join holds.
+BLOCK_ROWS = 1000
+
+
+def _blocks(n: Column) -> Column:
+    return F.ceil(n / BLOCK_ROWS).cast("int")
+
+
+def _block(hashed: str | Column, blocks: str) -> Column:
+    return F.pmod(F.xxhash64(hashed), F.col(blocks).cast("long")).cast("int")
+
+
 def same_reading_pairs(rows: DataFrame, by: list[str | Column] | None = None) -> DataFrame:
     """(*by, id_a, id_b), id_a < id_b: rows of readings() with the same form and different raw text.
 
-    Equal texts are no pair, so the work never enumerates copies among themselves: only forms with
-    at least two different texts are looked at, and rows meet rows of another text alone. The hot
-    form's rows are spread by a salt on one side and repeated per salt on the other.
+    Equal texts are no pair. First the different texts of a form are paired, then both sides of such a
+    pair are replaced by the ids that have the text, so the work follows the number of result rows,
+    however many copies a text has. A text's ids, and a form's texts, go in blocks of BLOCK_ROWS, so
+    no key of a join holds more of them than that.
     """
     by = by or []
     rows = materialize(rows, "readings")  # digests only; the texts are normalised once
     texts = rows.groupBy(*by, "form", "raw").agg(F.count("*").alias("n"))
-    forms = texts.groupBy(*by, "form").agg(F.count("*").alias("texts"), F.sum("n").alias("rows")).where("texts > 1")
-    # one salt for each thousand rows of a form
-    forms = forms.withColumn("salts", (F.col("rows") / 1000 + 1).cast("int"))
-    some = rows.join(forms.select(*by, "form", "salts"), [*by, "form"])
-    left = some.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts").cast("long")).cast("int"))
-    right = some.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    a = left.select(*by, "form", "salt", F.col("id").alias("id_a"), F.col("raw").alias("raw_a"))
-    b = right.select(*by, "form", "salt", F.col("id").alias("id_b"), F.col("raw").alias("raw_b"))
-    pairs = a.join(b, [*by, "form", "salt"]).where("raw_a != raw_b and id_a < id_b")
-    return pairs.select(*by, "id_a", "id_b").distinct()
+    forms = texts.groupBy(*by, "form").agg(F.count("*").alias("texts")).where("texts > 1")
+    some = materialize(texts.join(forms, [*by, "form"]).withColumn("blocks", _blocks(F.col("n"))), "texts")
+    some = some.withColumn("salts", _blocks(F.col("texts")))
+    left = some.select(*by, "form", _block("raw", "salts").alias("salt"), F.col("raw").alias("raw_a"), F.col("blocks").alias("blocks_a"))
+    right = some.select(*by, "form", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("raw").alias("raw_b"), F.col("blocks").alias("blocks_b"))
+    pairs = left.join(right, [*by, "form", "salt"]).where("raw_a < raw_b")
+    pairs = pairs.withColumn("block_a", F.explode(F.sequence(F.lit(0), F.col("blocks_a") - 1)))
+    pairs = pairs.withColumn("block_b", F.explode(F.sequence(F.lit(0), F.col("blocks_b") - 1))).drop("form", "salt", "blocks_a", "blocks_b")
+    ids = rows.join(some.select(*by, "raw", "blocks"), [*by, "raw"]).select(*by, "raw", "id", _block("id", "blocks").alias("block"))
+    a = ids.select(*by, F.col("raw").alias("raw_a"), F.col("block").alias("block_a"), F.col("id").alias("x"))
+    b = ids.select(*by, F.col("raw").alias("raw_b"), F.col("block").alias("block_b"), F.col("id").alias("y"))
+    both = pairs.join(a, [*by, "raw_a", "block_a"]).join(b, [*by, "raw_b", "block_b"]).where("x != y")
+    return both.select(*by, F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()

@@ -38,3 +38,16 @@ def test_one_hot_form(spark):
     df = spark.createDataFrame(rows, "id long, name string").repartition(4)
     got = lookalike.same_reading_pairs(lookalike.readings(df, "id", "name"))
     assert got.count() == 3000 and got.where("id_b != 5000").count() == 0
+
+
+def test_many_copies_and_many_texts(spark):
+    """Work follows the result: copies of a text aren't paired among themselves, in blocks or not."""
+    rows = [(i, "Alpha") for i in range(20000)] + [(50000, "Аlpha"), (50001, "Аlpha")] + [(60000 + i, "Be" + "\u200b" * (i + 1) + "ta") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, name string").repartition(4)
+    got = lookalike.same_reading_pairs(lookalike.readings(df, "id", "name"))
+    kinds = {r.hot: r["count"] for r in got.groupBy((got.id_a < 60000).alias("hot")).count().collect()}
+    assert kinds == {True: 40000, False: 60 * 59 // 2} and got.distinct().count() == got.count()
+
+
+def test_letters_of_the_public_data():
+    assert lookalike.reading("Ꭺlрhа") == "Alpha" and lookalike.reading("ІТ") == "IT"
