@@ -1,6 +1,6 @@
 """Splitting of texts above a token limit at natural boundaries, with overlap.
 
-Each text is handled whole inside one task. Dynamic programming over the boundary positions picks
+Each text is handled whole inside one task. Dynamic programming over all boundary positions picks
 the cuts: a cut costs by how much it breaks (paragraph, line, sentence, clause, word, character),
 and pieces of uneven size cost by the square of their distance from the even size.
 """
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,14 @@ from fernlode.llm.tokens import TOKENIZER_DIR, Transducer, transducer
 
 #: Cost of a cut by what it breaks.
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, CHARACTER = 0.0, 0.1, 0.25, 0.7, 1.2, 3.0
-#: Weight of a piece's squared relative distance from the even size.
-IMBALANCE = 1.0
+#: Weight of a piece's squared relative distance from the even size, and cost of a piece.
+IMBALANCE, PIECE = 1.0, 0.15
+#: Of the room beside the overlap, a piece fills at least this share with text of its own; the last is free.
+LEAST_SHARE = 0.5
+#: Tokens of a run without spaces that counts as a word and isn't cut; Chinese text mostly has longer ones.
+WORD_TOKENS = 16
+#: Least room beside the overlap: a character has four tokens at most, and may encode differently at a cut.
+LEAST_ROOM = 12
 
 #: A place's cost is that of the first group that ends there.
 _PLACES = re.compile(
@@ -29,66 +36,43 @@ _PLACES = re.compile(
 _GRADES = np.array([PARAGRAPH, LINE, SENTENCE, CLAUSE])
 
 
-def _inside(fst: Transducer, unit: str, ids: tuple[int, ...]) -> list[tuple[int, int]]:
-    """(characters, tokens) from the unit's start to each token end between two characters."""
-    head, data, out = 0, unit.encode("utf-8", "surrogatepass"), []
-    # a byte that doesn't continue a character starts one
-    first = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
-    for n, i in enumerate(ids[:-1], 1):
-        head += len(fst.bytes_of[i])
-        if data[head] & 0xC0 != 0x80:
-            out.append((int(first[head - 1]), n))
-    return out
-
-
 class _Text:
     """A text's units of the tokenizer's split and the places where it may be cut."""
 
     def __init__(self, fst: Transducer, text: str, room: int):
         self.fst = fst
         self.units = fst.split(text)
-        self.ids = list(map(fst.piece, self.units))
+        ids = list(map(fst.piece, self.units))
         count = len(self.units)
+        sizes = np.fromiter(map(len, ids), np.int64, count)
         self.chars = np.concatenate([[0], np.cumsum(np.fromiter(map(len, self.units), np.int64, count))])
-        self.tokens = np.concatenate([[0], np.cumsum(np.fromiter(map(len, self.ids), np.int64, count))])
-        ends = [(m.end(), m.lastindex - 1) for m in _PLACES.finditer(text)]
-        cost = np.full(count + 1, WORD)
-        if ends:
-            place, grade = np.array(ends).T
-            np.minimum.at(cost, np.searchsorted(self.chars, place), _GRADES[grade])
-        chosen = cost <= LINE
-        chosen[[0, -1]] = True
-        for grade in (SENTENCE, CLAUSE, WORD):  # finer places only where the coarser leave wide gaps
-            gaps = np.diff(self.tokens[chosen])
-            if (gaps <= room).all():
-                break
-            at = np.searchsorted(self.tokens[chosen], self.tokens, side="left")
-            wide = np.concatenate([[False], gaps > room, [False]])
-            chosen |= wide[np.minimum(at, len(wide) - 1)] & (cost <= grade)
-        cut = np.flatnonzero(chosen)
-        places = [(int(self.chars[i]), int(self.tokens[i]), float(cost[i])) for i in cut]
-        for u in np.flatnonzero(np.diff(self.tokens) > room):  # units wider than a gap: long runs without spaces
-            places += [
-                (int(self.chars[u]) + c, int(self.tokens[u]) + t, CHARACTER)
-                for c, t in _inside(fst, self.units[u], self.ids[u])
-            ]
-        places.sort()
-        self.cut_chars, self.cut_tokens = (np.array([p[k] for p in places]) for k in (0, 1))
-        self.cut_cost = np.array([p[2] for p in places])
-
-    def start(self, token: int) -> tuple[int, int]:
-        """The last place between characters at or before a token: its character and token."""
-        u = int(np.searchsorted(self.tokens, token, side="right")) - 1
-        c, t = int(self.chars[u]), int(self.tokens[u])
-        if t < token:
-            ids, bytes_of, k = self.ids[u], self.fst.bytes_of, token - t
-            while k and bytes_of[ids[k]][0] & 0xC0 == 0x80:  # the token goes on with a character
-                k -= 1
-            if k:
-                head = b"".join([bytes_of[i] for i in ids[:k]])
-                return c + len(head.decode("utf-8", "surrogatepass")), t + k
-        return c, t
-
+        self.tokens = np.concatenate([[0], np.cumsum(sizes)])
+        data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        begins = np.append((data & 0xC0) != 0x80, True)  # a byte that doesn't continue a character starts one
+        before = np.cumsum(begins) - 1
+        end = np.cumsum(fst.byte_len[np.fromiter(chain.from_iterable(ids), np.int64, int(self.tokens[-1]))])
+        whole = np.zeros(len(end) + 1, bool)
+        whole[self.tokens] = True
+        # between two characters: at a unit's end, or inside a long run
+        inside = np.concatenate([[False], begins[end]]) & np.append(False, np.repeat(sizes > min(WORD_TOKENS, room // 8), sizes))
+        self.at_token = np.flatnonzero(whole | inside)
+        self.at_char = before[np.concatenate([[0], end])[self.at_token]]
+        self.cost = np.where(whole[self.at_token], WORD, CHARACTER)
+        # where a piece may begin: between any two characters
+        self.begin_token = np.concatenate([[0], np.flatnonzero(begins[end]) + 1])
+        self.begin_char = np.concatenate([[0], before[end[begins[end]]]])
+        spans = [(m.start(), m.end(), m.lastindex - 1) for m in _PLACES.finditer(text)]
+        if spans:
+            head, tail, grade = np.array(spans).T
+            # white space goes to the next word where the tokenizer joins them
+            place = np.searchsorted(self.at_char, tail, side="right") - 1
+            good = self.at_char[place] > head
+            np.minimum.at(self.cost, place[good], _GRADES[grade[good]])
+
+    def begins(self, token: np.ndarray, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+        """(token, character) of the last place that shares `overlap` tokens with what ends at a token."""
+        at = np.searchsorted(self.begin_token, np.maximum(token - overlap, 0), side="right") - 1
+        return self.begin_token[at], self.begin_char[at]
 
     def count(self, text: str, a: int, b: int) -> int:
         """Tokens of text[a:b] encoded alone. The split runs from left to right, so it agrees with
@@ -111,56 +95,107 @@ class _Text:
         return self.fst.count(text[a:b])
 
 
-def plan_pieces(
-    fst: Transducer, text: str, limit: int, overlap: int, slack: int = 0
-) -> list[tuple[int, int, int, int]]:
+def _cuts(ends: np.ndarray, starts: np.ndarray, costs: np.ndarray, most: int, least: int, even: float) -> list[int] | None:
+    """Positions of the cuts, the first and the last place included, of least cost; None if there is no way.
+
+    A piece from place j to place i has ends[i] - starts[j] tokens, `most` of them at most, and
+    ends[i] - ends[j] of its own, `least` of them at least, but for the last piece. As a piece has
+    a least length, a whole run of places depends on earlier ones alone and is computed at once.
+    """
+    n = len(ends)
+    best, came = np.full(n, np.inf), np.zeros(n, np.int64)
+    best[0] = 0.0
+    low = np.searchsorted(starts, ends - most, side="left")
+    high = np.searchsorted(ends, ends - least, side="right")  # j < high
+    i = int(np.searchsorted(high, 1))
+    scale = IMBALANCE / (most * most)
+    while i < n:
+        stop = min(int(np.searchsorted(high, i, side="right")), n)  # places whose pieces start before i
+        a, b = int(low[i]), int(high[stop - 1])
+        if b > a:
+            js = np.arange(a, b)
+            size = ends[i:stop, None] - (starts[a:b] + even)[None, :]
+            value = best[a:b] + scale * size * size
+            value[(js[None, :] < low[i:stop, None]) | (js[None, :] >= high[i:stop, None])] = np.inf
+            k = value.argmin(axis=1)
+            best[i:stop] = value[np.arange(stop - i), k] + costs[i:stop] + PIECE
+            came[i:stop] = a + k
+        i = stop
+    a = int(low[-1])
+    if a >= n - 1:
+        return None
+    last = best[a : n - 1] + scale * (ends[-1] - starts[a : n - 1] - even) ** 2
+    j = a + int(last.argmin())
+    if not np.isfinite(last[j - a]):
+        return None
+    path = [n - 1, j]
+    while path[-1]:
+        path.append(int(came[path[-1]]))
+    return path[::-1]
+
+
+def _forced(places: _Text, text: str, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
+    """Pieces for odd texts whose parts encode longer than they do within the text: each ends at the
+    last place between characters that keeps it within the limit; where the overlap leaves no room
+    for more text, none is shared."""
+    out: list[tuple[int, int, int, int]] = []
+    chars, at, done, shared = places.begin_char, 0, 0, 0
+    while done < len(text):
+        b = int(np.searchsorted(places.begin_token, places.begin_token[at] + limit, side="right")) - 1
+        while b > at and (chars[b] <= done or (size := places.count(text, int(chars[at]), int(chars[b]))) > limit):
+            b = b - 1 if chars[b] > done else at
+        if b <= at:
+            if shared:  # without overlap
+                at, shared = int(np.searchsorted(chars, done)), 0
+                continue
+            b = at + 1  # a single character above the limit
+            size = places.count(text, int(chars[at]), int(chars[b]))
+        out.append((int(chars[at]), int(chars[b]), size, shared))
+        done = int(chars[b])
+        at = int(np.searchsorted(places.begin_token, max(0, int(places.begin_token[b]) - overlap), side="right")) - 1
+        shared = int(places.begin_token[b] - places.begin_token[at])
+    return out
+
+
+def check_limits(limit: int, overlap: int) -> None:
+    if overlap < 0 or limit <= 2 * overlap + LEAST_ROOM:
+        raise ValueError("the limit leaves no room beside the overlap")
+
+
+def plan_pieces(fst: Transducer, text: str, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
     """(first character, end character, tokens, tokens shared with the piece before) of each piece.
 
     A text within the limit is one piece. Each piece starts at the last place between characters
     that shares at least `overlap` tokens with the piece before; no piece exceeds `limit` tokens,
-    counted again on the piece's own text.
+    counted again on the piece's own text. The cuts are the cheapest of all ways to cut at unit
+    ends, and between characters of long runs, whose pieces but the last hold LEAST_SHARE of the
+    room beside the overlap. Where pieces encode longer than within the text the limit is tightened
+    and, if that leaves no room, the text is cut by length alone.
     """
-    most = limit - slack
-    if most <= 2 * overlap + 8:
-        raise ValueError("the limit leaves no room beside the overlap")
+    check_limits(limit, overlap)
     if len(text) <= limit // 4 and (total := fst.count(text)) <= limit:  # no character has more than four bytes
         return [(0, len(text), total, 0)]
-    places = _Text(fst, text, max(1, most // 6))
+    places = _Text(fst, text, limit - overlap)
     total = int(places.tokens[-1])
     if total <= limit:
         return [(0, len(text), total, 0)]
-    ends, costs = places.cut_tokens, places.cut_cost
-    begin = [(0, 0)] + [places.start(max(0, int(t) - overlap)) for t in ends[1:]]
-    starts = np.maximum.accumulate(np.array([t for _, t in begin]))
-    pieces = int(np.ceil((total - overlap) / (most - overlap)))
-    even = (total + (pieces - 1) * overlap) / pieces
-    n = len(ends)
-    best, came = np.full(n, np.inf), np.zeros(n, np.int64)
-    best[0] = 0.0
-    first = np.searchsorted(starts, ends - most, side="left")
-    for i in range(1, n):
-        lo = first[i]
-        if lo >= i:
-            continue
-        size = ends[i] - starts[lo:i]
-        value = best[lo:i] + IMBALANCE * ((size - even) / most) ** 2
-        k = int(value.argmin())
-        best[i] = value[k] + (costs[i] if i < n - 1 else 0.0) + 0.15
-        came[i] = lo + k
-    if not np.isfinite(best[-1]):
-        raise ValueError("a single character exceeds the limit")
-    path, i = [], n - 1
-    while i:
-        path.append((int(came[i]), i))
-        i = int(came[i])
-    out = []
-    for p, q in path[::-1]:
-        a, b = begin[p][0], int(places.cut_chars[q])
-        size = places.count(text, a, b)
-        if size > limit:
-            return plan_pieces(fst, text, limit, overlap, slack + max(4, size - limit))
-        out.append((a, b, size, int(ends[p]) - begin[p][1]))
-    return out
+    ends, costs = places.at_token, places.cost
+    starts, begin = places.begins(ends, overlap)
+    most = limit
+    while most > 2 * overlap + LEAST_ROOM:
+        pieces = int(np.ceil((total - overlap) / (most - overlap)))
+        even = (total + (pieces - 1) * overlap) / pieces
+        path = _cuts(ends, starts, costs, most, max(1, int(LEAST_SHARE * (most - overlap))), even)
+        if path is None:
+            break
+        sizes = [places.count(text, int(begin[p]), int(places.at_char[q])) for p, q in zip(path, path[1:])]
+        if max(sizes) <= limit:
+            return [
+                (int(begin[p]), int(places.at_char[q]), size, int(ends[p] - starts[p]))
+                for p, q, size in zip(path, path[1:], sizes)
+            ]
+        most -= max(4, max(sizes) - limit)
+    return _forced(places, text, limit, overlap)
 
 
 def split_texts(
@@ -176,8 +211,10 @@ def split_texts(
 
     Offsets are code points, piece == text[start_char:end_char], and the pieces without their
     shared beginnings join to the text. Null and empty texts have no pieces; a text within the
-    limit is one piece; repeated rows give repeated pieces; other columns are not read.
+    limit is one piece; repeated rows give repeated pieces; other columns are not read. A limit
+    that leaves no room beside the overlap is refused before anything runs.
     """
+    check_limits(limit, overlap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = transducer(tokenizer, folder)

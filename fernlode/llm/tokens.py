@@ -34,8 +34,8 @@ SPLIT_PATTERN = (
     r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 )
 
-#: Entries after which a worker's memo of pieces starts anew; affects speed only.
-MEMO_ENTRIES = 400_000
+#: Entries after which a worker's memo of pieces, or its arcs and pairs, start anew; affects speed only.
+MEMO_ENTRIES, ARC_ENTRIES = 400_000, 1_000_000
 
 
 class Transducer:
@@ -44,16 +44,22 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
+        self.byte_len = np.zeros(max(self.bytes_of, default=0) + 1, np.int64)
+        self.byte_len[list(self.bytes_of)] = list(map(len, self.bytes_of.values()))
         self.prefixes = {t[:n] for t in ranks for n in range(1, len(t))}
-        self._alone: dict[bytes, bool] = {}
+        self._alone: dict[bytes, bool] = {}  # at most the vocabulary
+        self._forget()
+        self.memo: dict[str, tuple[int, ...]] = {}
+        self._split = regex.compile(SPLIT_PATTERN).findall
+
+    def _forget(self) -> None:
+        """An automaton of the start state alone."""
         self._pairs: dict[tuple[int, int], bool] = {}
         self._states: dict[tuple, int] = {}
         self._info: list[tuple] = []
         self._arcs: dict[tuple[int, str], tuple[int, tuple[int, ...]]] = {}
         self._ends: dict[int, tuple[int, ...]] = {}
         self.start = self._state((b"", -1, ()))
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self._split = regex.compile(SPLIT_PATTERN).findall
 
     def _merge(self, data: bytes) -> list[bytes]:
         """Encoding by the definition: join the neighbours of lowest rank until none is left."""
@@ -153,6 +159,8 @@ class Transducer:
         found = self.memo.get(text)
         if found is not None:
             return found
+        if len(self._arcs) + len(self._pairs) > ARC_ENTRIES:
+            self._forget()
         state, out, arcs = self.start, [], self._arcs
         for char in text:
             arc = arcs.get((state, char)) or self._arc(state, char)

@@ -1,5 +1,7 @@
+import itertools
 import random
 
+import numpy as np
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -141,3 +143,49 @@ def test_pack_rows(spark):
     total = sum(n for i, n in rows if i is not None and n)
     assert len(per) <= total / 2048 + 12
     assert packing.pack_items(df.limit(0), 2048).count() == 0
+
+
+def test_cuts_are_the_cheapest():
+    rnd = random.Random(9)
+    for _ in range(200):
+        n = rnd.randint(6, 14)
+        ends = np.cumsum([0] + [rnd.randint(1, 4) for _ in range(n - 1)])
+        overlap, most = rnd.choice([(0, 9), (2, 12)])
+        starts = np.array([max([int(e) for e in ends if e <= x - overlap], default=0) for x in ends])
+        costs = np.array([rnd.choice([0, 0.1, 0.25, 0.7, 1.2]) for _ in range(n)])
+        least, even = rnd.choice([1, 3]), 7.0
+        ways = {}
+        for r in range(n - 1):
+            for inner in itertools.combinations(range(1, n - 1), r):
+                path = [0, *inner, n - 1]
+                steps = list(zip(path, path[1:]))
+                if all(ends[q] - starts[p] <= most for p, q in steps) and all(ends[q] - ends[p] >= least for p, q in steps[:-1]):
+                    price = sum(((ends[q] - starts[p] - even) / most) ** 2 for p, q in steps) + sum(costs[q] + splitting.PIECE for q in inner)
+                    ways[tuple(path)] = price
+        got = splitting._cuts(ends, starts, costs, most, least, even)
+        if not ways:
+            assert got is None
+        else:
+            assert abs(ways[tuple(got)] - min(ways.values())) < 1e-9
+
+
+def test_odd_texts_are_cut_all_the_same(fst, monkeypatch):
+    rnd = random.Random(11)
+    texts = ["😀" * 300, "̀" * 500, "𓀀" * 200, "a" * 3000, "\n" * 2000, "中" * 2000] + ["".join(chr(rnd.choice([rnd.randint(1, 0x2FF), rnd.randint(0x1F000, 0x1FFFF)])) for _ in range(400)) for _ in range(10)]
+    for text in texts:
+        _check(fst, text, 40, 6)
+    monkeypatch.setattr(splitting, "_cuts", lambda *a: None)
+    for text in texts:
+        pieces = splitting.plan_pieces(fst, text, 40, 6)
+        assert pieces[0][0] == 0 and pieces[-1][1] == len(text) and all(n <= 40 for _, _, n, _ in pieces)
+        assert all(a <= q and b > q for (_, q, _, _), (a, b, _, _) in zip(pieces, pieces[1:]))
+
+
+def test_bounded_automaton(monkeypatch):
+    monkeypatch.setattr(tokens, "ARC_ENTRIES", 50)
+    monkeypatch.setattr(tokens, "MEMO_ENTRIES", 5)
+    small = tokens.Transducer(tokens.read_ranks(f"{tokens.TOKENIZER_DIR}/byte_bpe_50k.tiktoken"))
+    full = tokens.transducer("byte_bpe_50k")
+    for k in range(300):
+        text = f"word{k} 中文{k} mixture of letters"
+        assert small.encode(text) == full.encode(text) and len(small._arcs) < 200
