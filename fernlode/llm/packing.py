@@ -7,8 +7,7 @@ containers and a rest that is packed like any other item; nothing else is cut.
 
 from __future__ import annotations
 
-import heapq
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
@@ -17,18 +16,17 @@ from pyspark.sql import functions as F
 
 #: Items of one lot, on average; the room lost to a lot's last containers falls with it.
 LOT_ITEMS = 4000
-#: Rounds of the local search over the underfull containers of a lot.
-ROUNDS = 12
 
 
-def pack(sizes: list[int], capacity: int, rounds: int = ROUNDS) -> list[list[int]]:
+def pack(sizes: list[int], capacity: int) -> list[list[int]]:
     """Containers as lists of item positions; sizes lie in 1..capacity.
 
     Items go in order of arrival into the fullest open container that takes them. The local search
     then takes the emptiest container and tries to move its items into the others' room, to
     exchange one of its items for a smaller one elsewhere (the other container gets fuller), or one
-    of its items for two smaller ones. Each step raises the sum of squared fills, so it ends; a
-    container that becomes empty is dropped.
+    of its items for two smaller ones. Each step looks at all containers and items and raises the sum
+    of squared fills, so it ends: when no step is left, or when no fewer containers can hold the
+    sizes. A container that becomes empty is dropped.
     """
     bins: list[list[int]] = []
     room: list[tuple[int, int]] = []  # (room, bin), sorted
@@ -42,87 +40,94 @@ def pack(sizes: list[int], capacity: int, rounds: int = ROUNDS) -> list[list[int
         bins[b].append(item)
         if left > sizes[item]:
             insort(room, (left - sizes[item], b))
-
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    for _ in range(rounds):
-        before = sum(f * f for f in fill)
-        todo = [(fill[b], b) for b in range(len(bins)) if 0 < fill[b] < capacity]
-        heapq.heapify(todo)
-        while todo:
-            _, b = heapq.heappop(todo)
-            if 0 < fill[b] < capacity:
-                _relocate(b, bins, fill, sizes, capacity, room)
-        if sum(f * f for f in fill) == before:
-            break
-    return [b for b in bins if b]
-
-
-def _set_room(room: list[tuple[int, int]], b: int, old: int, new: int) -> None:
-    if old > 0:
-        at = bisect_left(room, (old, b))
-        if at < len(room) and room[at] == (old, b):
-            room.pop(at)
-    if new > 0:
-        insort(room, (new, b))
-
-
-def _relocate(b: int, bins: list[list[int]], fill: list[int], sizes: list[int], capacity: int, room: list) -> None:
-    """Moves and exchanges between container b and fuller ones, as long as b gets emptier."""
-
-    def change(x: int, out: list[int], into: list[int]) -> None:
-        old = capacity - fill[x]
-        for i in out:
-            bins[x].remove(i)
-            fill[x] -= sizes[i]
-        for i in into:
-            bins[x].append(i)
-            fill[x] += sizes[i]
-        _set_room(room, x, old, capacity - fill[x])
-
-    again = True
-    while again and bins[b]:
-        again = False
-        for item in sorted(bins[b], key=lambda i: -sizes[i]):
-            size = sizes[item]
-            at = bisect_left(room, (size, -1))  # move: the tightest room that takes it
-            while at < len(room) and (room[at][1] == b or fill[room[at][1]] <= fill[b] - size):
-                at += 1
-            if at < len(room):
-                target = room[at][1]
-                change(b, [item], [])
-                change(target, [], [item])
-                again = True
-                break
-            done = False
-            low = bisect_left(room, (1, -1))
-            for left, c in room[low : bisect_right(room, (size, 1 << 60))][::-1][:64]:  # widest rooms first
-                if c == b or fill[c] < fill[b]:
-                    continue
-                other = [i for i in bins[c] if sizes[i] < size and size - sizes[i] <= left]
-                if other:  # one for one: the least other item that still fits
-                    j = min(other, key=lambda i: sizes[i])
-                    change(c, [j], [item])
-                    change(b, [item], [j])
-                    done = True
-                    break
-                small = sorted((sizes[i], i) for i in bins[c] if sizes[i] < size)[:12]
-                pair = next(
-                    (
-                        (i, j)
-                        for k, (s, i) in enumerate(small)
-                        for t, j in small[k + 1 :]
-                        if s + t < size and size - s - t <= left
-                    ),
-                    None,
-                )
-                if pair:  # one for two
-                    change(c, list(pair), [item])
-                    change(b, [item], list(pair))
-                    done = True
-                    break
-            if done:
-                again = True
-                break
+    search = _Search(bins, sizes, capacity)
+    search.run(-(-sum(sizes) // capacity))
+    return [b for b in search.bins if b]
+
+
+class _Search:
+    """Local search over the containers of a lot."""
+
+    def __init__(self, bins: list[list[int]], sizes: list[int], capacity: int):
+        self.bins, self.capacity = [set(b) for b in bins], capacity
+        self.size = np.array(sizes, np.int64)
+        self.of = np.zeros(len(sizes), np.int64)
+        for b, items in enumerate(bins):
+            self.of[items] = b
+        self.fill = np.bincount(self.of, self.size, len(bins)).astype(np.int64) if bins else np.empty(0, np.int64)
+        self.keys = np.sort(self._key(np.arange(len(sizes))))
+
+    def _key(self, item: np.ndarray | int) -> np.ndarray:
+        """Orders items by container, then size."""
+        return (self.of[item] * (self.capacity + 1) + self.size[item]) * len(self.size) + item
+
+    def run(self, bound: int) -> None:
+        """Until a whole round over the underfull containers changes nothing, or `bound` of them are left."""
+        moved = True
+        while moved:
+            moved = False
+            under = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity))
+            for b in under[np.argsort(self.fill[under], kind="stable")].tolist():
+                while self.fill[b] > 0 and np.count_nonzero(self.fill) > bound and self._step(b):
+                    moved = True
+            if np.count_nonzero(self.fill) <= bound:
+                return
+
+    def _put(self, items: list[int], b: int) -> None:
+        for i in items:
+            old = self.of[i]
+            self.keys = np.delete(self.keys, np.searchsorted(self.keys, self._key(i)))
+            self.bins[old].remove(i)
+            self.fill[old] -= self.size[i]
+            self.of[i] = b
+            self.bins[b].add(i)
+            self.fill[b] += self.size[i]
+            self.keys = np.insert(self.keys, np.searchsorted(self.keys, self._key(i)), self._key(i))
+
+    def _step(self, b: int) -> bool:
+        """One move or exchange of an item of container b, the largest first, if there is any. What
+        shifts d tokens to container c raises the squared fill where c is fuller than b less d."""
+        fill, n = self.fill, len(self.size)
+        filled = int(fill[b])
+        for item in sorted(self.bins[b], key=lambda i: (-self.size[i], i)):
+            s = int(self.size[item])
+            good = (fill <= self.capacity - s) & (fill > filled - s)
+            good[b] = False
+            if good.any():  # move: the tightest room
+                self._put([item], int(np.where(good, fill, -1).argmax()))
+                return True
+            j = np.flatnonzero((self.size < s) & (self.of != b))
+            c = fill[self.of[j]]
+            d = s - self.size[j]
+            good = (d <= self.capacity - c) & (c > filled - d)
+            if good.any():  # one for one
+                best = np.where(good, d * (c - filled + d), -1).argmax()
+                other = int(j[best])
+                target = int(self.of[other])
+                self._put([other], b)
+                self._put([item], target)
+                return True
+            place, who = np.divmod(self.keys, n)
+            at, size = np.divmod(place, self.capacity + 1)
+            c = fill[at]
+            first = np.flatnonzero((size < s) & (at != b) & (c < self.capacity) & (c > filled - s))
+            if not len(first):
+                continue
+            # one for two: with each smaller item the smallest other one of its container that fits
+            need = np.maximum(s - size[first] - (self.capacity - c[first]), 1)
+            second = np.searchsorted(place, at[first] * (self.capacity + 1) + need)
+            second += second == first
+            inside = second < n
+            first, second = first[inside], second[inside]
+            d = s - size[first] - size[second]
+            good = (at[second] == at[first]) & (d > 0) & (c[first] > filled - d)
+            if good.any():
+                best = np.where(good, d * (c[first] - filled + d), -1).argmax()
+                target = int(at[first[best]])
+                self._put([int(who[first[best]]), int(who[second[best]])], b)
+                self._put([item], target)
+                return True
+        return False
 
 
 def pack_items(
