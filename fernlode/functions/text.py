@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 EXTENSIONS = ("md", "txt", "docx", "pdf", "pptx", "xlsx", "html")
 # Hosts that aren't public addresses.
-PRIVATE_HOST = r"^(localhost|.*\.localhost|\[?::1\]?|0\..*|10\..*|127\..*|192\.168\..*|169\.254\..*|172\.(1[6-9]|2[0-9]|3[01])\..*)$"
+PRIVATE_HOST = (
+    r"^(localhost|.*\.localhost|::1|\[::1\]|(0|10|127)\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}|192\.168\.[0-9]{1,3}\.[0-9]{1,3}|"
+    r"169\.254\.[0-9]{1,3}\.[0-9]{1,3}|172\.(1[6-9]|2[0-9]|3[01])\.[0-9]{1,3}\.[0-9]{1,3})$"
+)
+# Names of files, and folders, that hold keys or passwords.
+SENSITIVE_NAME = (
+    r"(?i)\.env|id_rsa|id_ed25519|credential|password|passwd|secret|private[_-]?key|access[_-]?token|keychain|wallet|钥匙串|密码|口令|密钥|凭据"
+)
+SENSITIVE_FOLDER = r"(?i)(^|[/\\])(\.ssh|\.gnupg|\.aws|\.kube|credentials)([/\\]|$)"
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"^[\s\x{00A0}\x{2000}-\x{200A}\x{202F}\x{3000}\x{FEFF}]+|[\s\x{00A0}\x{2000}-\x{200A}\x{202F}\x{3000}\x{FEFF}]+\z", "")
 
 
 def extension(path: Column) -> Column:
@@ -22,20 +37,46 @@ def file_label(ext: Column) -> Column:
 
 def sensitive_path(path: Column) -> Column:
     """Files that hold keys or passwords, and folders of such files."""
-    low = F.lower(path)
-    return low.rlike(r"(^|/)(\.env[^/]*|id_rsa[^/]*|[^/]*(credential|password|secret|密码|私钥)[^/]*)$") | low.rlike(
-        r"(^|/)\.(ssh|aws|gnupg)/"
-    )
+    return F.regexp_extract(path, r"[^/]*$", 0).rlike(SENSITIVE_NAME) | path.rlike(SENSITIVE_FOLDER)
+
+
+def library_name(name: Column) -> Column:
+    """The name in compatibility form without outer white space; null if nothing is left or it has
+    control characters."""
+    clean = trimmed(normalized(name))
+    return F.when((clean != "") & ~clean.rlike(r"[\x00-\x1F\x7F]"), clean)
+
+
+@F.pandas_udf(StringType())
+def normalized(values: pd.Series) -> pd.Series:
+    """Compatibility composition (NFKC); Spark has no built-in function for it."""
+    return values.str.normalize("NFKC")
 
 
 def library_id(name: Column) -> Column:
-    """A safe name as it is, any other as kb- and a digest."""
+    """A safe library_name() as it is, any other as kb- and a digest; null for no name."""
+    name = library_name(name)
     safe = name.rlike(r"^[A-Za-z0-9][A-Za-z0-9_-]{0,63}$")
     return F.when(safe, name).otherwise(F.concat(F.lit("kb-"), F.substring(F.sha2(F.encode(name, "utf-8"), 256), 1, 16)))
 
 
+def fingerprint(index: dict, provider: str, model: str, dimensions: int = 0) -> str | None:
+    """Why vectors of an embedding service don't compare with those of an index; None if they do.
+
+    An index that names no model is empty and fits any service (answer "empty"); unknown dimensions fit.
+    """
+    if not index.get("model"):
+        return "empty"
+    if (index.get("model"), index.get("provider", "")) != (model, provider):
+        return "model differs"
+    known = int(index.get("dimensions") or 0)
+    return "dimensions differ" if dimensions and known and dimensions != known else None
+
+
 def private_host(host: Column) -> Column:
-    return F.coalesce(host.rlike(PRIVATE_HOST), F.lit(False))
+    """Is it an address of the own machine or network? A missing host counts as one."""
+    low = F.lower(host)
+    return F.coalesce((low == "") | low.rlike(PRIVATE_HOST), F.lit(True))
 
 
 def page_file_name(title: Column, url: Column) -> Column:
@@ -46,14 +87,12 @@ def page_file_name(title: Column, url: Column) -> Column:
 
 
 def error_reason(message: Column) -> Column:
-    """A short reason for the user."""
-    low = F.lower(message)
+    """What the user is told about an error: an undeclared service, a service that can't be reached,
+    missing settings of the embedding service, or the message itself."""
     return (
         F.when(message.isNull(), F.lit(None).cast("string"))
-        .when(low.rlike("time ?d? ?out|timeout|abort"), "timeout")
-        .when(low.rlike("401|403|unauthor|api key"), "credentials")
-        .when(low.rlike("429|rate|too many"), "rate limit")
-        .when(low.rlike("empty|blank|no text|scan"), "no text")
-        .when(low.rlike("format|unsupported|extension"), "format")
-        .otherwise("other")
+        .when(message.contains("not declared in manifest"), "service not allowed")
+        .when(message.contains("fetch failed") | message.contains("ENOTFOUND"), "service unreachable")
+        .when(message.rlike("(?i)embedding|api key|config"), "embedding not configured")
+        .otherwise(message)
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fernlode.functions.text import trimmed
+from fernlode.operators.components import connected_components
 from fernlode.operators.lifecycle import endpoints
 
 EXTRACTION = (
@@ -14,10 +16,19 @@ EXTRACTION = (
 # Limits of an extraction record and of the views.
 MAX_ALIASES, MAX_ENTITIES, MAX_RELATIONS = 12, 8, 6
 FULL_NODES, FULL_EDGES, LOCAL_EDGES, LOCAL_NODES = 5000, 8000, 160, 81
-# Names that say nothing by themselves.
-GENERIC = ("系统", "平台", "公司", "部门", "人员", "文件", "用户", "数据", "system", "platform", "company", "department", "user", "file", "data")
-CONNECTORS = r"(以及|并且|或者|但是|因为|所以|如果| and | or | because | which )"
-METADATA_TITLES = ("作者", "署名", "目录", "前言", "致谢", "元数据", "参考文献")
+# Rules of names, as they decide which names become entities and edges.
+GENERIC = ("用户", "客户", "员工", "人员", "公司", "团队", "部门", "单位", "流程", "制度", "规范", "管理", "工作", "内容", "问题", "情况", "方面", "措施")
+GENERIC_EACH = r"^各[一个]?(护理单元|科室|部门|单位|病区|单元|岗位|级|类)"
+DOCUMENT_NUMBER = r"^[A-Z]{2,4}(?:-[A-Z]{2,4})+-[0-9]"
+BROKEN = r"[（(][^）)]*\z|、|^只能|^不[是定止]|及以上\z|以下\z|以内\z|（[^）]*）[^\n]{0,6}的\z"
+TABLE_CELL = r"^[^\s\x{3000}]{1,8}(?:[0-9]+(?:\.[0-9]+)?\s*(?:m|cm|分|元|%|倍|岁|℃))\z"
+METADATA_TITLE = "文档历史|文件历史|修订记录|文档变更"
+SHORT_CHINESE = r"^[一-龥]{2,4}\z"
+CONNECTORS = "及各种|以及|等等|什么的|比如|例如|包括|还有"
+CODE = r"(?i)《|》|NU-|T/|GB\s|WS\s|Q/|〔|（[0-9]|[A-Z]{2,}[/-][0-9]"
+DATE_OR_NUMBER = r"^[0-9\s.\-:：年月日时分秒/号]+\z"
+OUTER = (r"^[\"'【\[（(]+|[\"'】\]）)]+\z", r"[。，；：!！?？]+\z")
+MAX_NAME, MAX_CODED, MAX_ROLE_NAME = 18, 60, 20
 
 
 def parse_extraction(raw: Column) -> Column:
@@ -32,56 +43,70 @@ def normalized_name(name: Column) -> Column:
 
 
 def clean_name(name: Column) -> Column:
-    """Without outer quotes, brackets and final punctuation."""
-    inner = F.regexp_replace(F.trim(name), "^[\"'“”‘’《》「」【】]+|[\"'“”‘’《》「」【】]+$", "")
-    return F.trim(F.regexp_replace(inner, "[,，。.;；:：!！?？、]+$", ""))
+    """Without outer quotes and brackets, then without final punctuation."""
+    inner = F.regexp_replace(trimmed(name), OUTER[0], "")
+    return trimmed(F.regexp_replace(inner, OUTER[1], ""))
 
 
 def meaningful(name: Column) -> Column:
-    """Two to 18 characters, or 60 with a code; no connector, no date or number alone."""
-    code = name.rlike("[A-Za-z]+[-/ ]?[0-9]{2,}")
-    plain_number = name.rlike("^[0-9./年月日:：% -]+$")
-    return (F.length(name) >= 2) & (F.length(name) <= F.when(code, 60).otherwise(18)) & ~plain_number & ~name.rlike(CONNECTORS)
+    """At least two characters and at most MAX_NAME, or MAX_CODED with the sign of a code or title; no
+    connector, no date or number alone."""
+    longest = F.when(name.rlike(CODE), MAX_CODED).otherwise(MAX_NAME)
+    return (F.length(name) >= 2) & (F.length(name) <= longest) & ~name.rlike(DATE_OR_NUMBER) & ~name.rlike(CONNECTORS)
 
 
 def validated(record: Column) -> Column:
-    """Cleaned entities and the relations whose two ends are among them, within the limits."""
+    """Cleaned entities and the relations whose two ends are among them, within the limits.
+
+    Ends and names are compared in normal form; a relation keeps its own wording. Null unless the
+    record has both lists.
+    """
+    named = F.filter(record["entities"], lambda e: trimmed(e["name"]) != "")
     entities = F.transform(
-        record["entities"],
+        named,
         lambda e: F.struct(
             clean_name(e["name"]).alias("name"),
-            F.coalesce(F.nullif(F.trim(e["type"]), F.lit("")), F.lit("concept")).alias("type"),
-            F.slice(F.filter(F.transform(F.coalesce(e["aliases"], F.array().cast("array<string>")), lambda a: F.trim(a)), lambda a: a != ""), 1, MAX_ALIASES).alias("aliases"),
+            F.coalesce(F.nullif(trimmed(e["type"]), F.lit("")), F.lit("concept")).alias("type"),
+            F.slice(F.filter(F.transform(F.coalesce(e["aliases"], F.array().cast("array<string>")), trimmed), lambda a: a != ""), 1, MAX_ALIASES).alias("aliases"),
         ),
     )
     entities = F.slice(F.filter(entities, lambda e: F.coalesce(meaningful(e["name"]), F.lit(False))), 1, MAX_ENTITIES)
-    names = F.transform(entities, lambda e: e["name"])
-    relations = F.transform(
+    names = F.transform(entities, lambda e: normalized_name(e["name"]))
+    good = F.filter(
         record["relations"],
+        lambda r: F.array_contains(names, normalized_name(r["subject"]))
+        & F.array_contains(names, normalized_name(r["object"]))
+        & (trimmed(r["predicate"]) != ""),
+    )
+    relations = F.transform(
+        F.slice(good, 1, MAX_RELATIONS),
         lambda r: F.struct(
-            clean_name(r["subject"]).alias("subject"), F.trim(r["predicate"]).alias("predicate"), clean_name(r["object"]).alias("object")
+            trimmed(r["subject"]).alias("subject"), trimmed(r["predicate"]).alias("predicate"), trimmed(r["object"]).alias("object")
         ),
     )
-    good = F.filter(
-        relations,
-        lambda r: F.array_contains(names, r["subject"]) & F.array_contains(names, r["object"]) & (F.length(r["predicate"]) > 0),
-    )
-    return F.struct(entities.alias("entities"), F.slice(good, 1, MAX_RELATIONS).alias("relations"))
+    both = record["entities"].isNotNull() & record["relations"].isNotNull()
+    return F.when(both, F.struct(entities.alias("entities"), relations.alias("relations")))
+
+
+def only_metadata(title: Column) -> Column:
+    """Aggregate over the title paths of a name's chunks: are all of them metadata sections?"""
+    return F.coalesce(F.bool_and(title.rlike(METADATA_TITLE)), F.lit(False))
+
 
+def classify(name: Column, metadata_only: Column | None = None, generic: tuple[str, ...] = ()) -> Column:
+    """keep, weak or drop, by the first rule that holds.
 
-def classify(name: Column, titles: Column | None = None) -> Column:
-    """keep, weak or drop, by the first rule that holds."""
+    metadata_only: whether the name occurs in chunks, all of which lie in metadata sections.
+    generic: further words without meaning of their own, of one library.
+    """
     rules = (
-        F.when(name.rlike("^[A-Z]{1,5}(-[A-Z0-9]{1,6}){2,}$"), "weak")  # number of a document
-        .when((F.length(name) > 20) | name.rlike("[{}<>|]") | name.rlike("^[^\\p{L}\\p{N}]+$"), "drop")
-        .when(name.rlike("^[0-9]+(\\.[0-9]+)?(岁|人|个|元|%|件|次|天|年)$"), "drop")  # cell of a table
+        F.when(name.rlike(DOCUMENT_NUMBER), "weak")
+        .when((F.length(name) > MAX_ROLE_NAME) | name.rlike(BROKEN), "drop")
+        .when(name.rlike(TABLE_CELL), "drop")
     )
-    if titles is not None:
-        short = name.rlike("^[\\x{4E00}-\\x{9FFF}]{2,4}$")
-        rules = rules.when(
-            short & (F.size(titles) > 0) & F.forall(titles, lambda t: t.rlike("^(" + "|".join(METADATA_TITLES) + ")")), "drop"
-        )
-    return rules.when(F.lower(name).isin(*GENERIC) | name.rlike("^各.{1,4}$"), "weak").otherwise("keep")
+    if metadata_only is not None:
+        rules = rules.when(name.rlike(SHORT_CHINESE) & metadata_only, "drop")
+    return rules.when(name.isin(*GENERIC, *generic) | name.rlike(GENERIC_EACH), "weak").otherwise("keep")
 
 
 def pending_chunks(chunks: DataFrame, documents: DataFrame, extracts: DataFrame, retry_failed: bool) -> DataFrame:
@@ -109,8 +134,8 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def full_nodes(entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """The FULL_NODES entities of highest degree."""
-    joined = entities.join(degrees(edges).withColumnRenamed("entity_id", "id"), "id", "left")
+    """The FULL_NODES kept entities of highest degree."""
+    joined = entities.where("graph_role = 'keep'").join(degrees(edges).withColumnRenamed("entity_id", "id"), "id", "left")
     return joined.withColumn("degree", F.coalesce("degree", F.lit(0))).orderBy(F.desc("degree"), "id").limit(FULL_NODES)
 
 
@@ -161,3 +186,34 @@ def mentions(extracts: DataFrame) -> DataFrame:
 def alias_edges(found: DataFrame) -> DataFrame:
     """(a, b): a name and its alias, in normal form; equal components are one entity."""
     return found.select(F.col("norm").alias("a"), F.explode("alias_norms").alias("b")).where("a != '' and b != ''").distinct()
+
+
+def components_of(found: DataFrame) -> DataFrame:
+    """(norm, entity): normal names of mentions() and the least name of their component."""
+    labels = connected_components(alias_edges(found)).select(F.col("node").alias("norm"), "label")
+    return found.select("norm").distinct().join(labels, "norm", "left").select("norm", F.coalesce("label", "norm").alias("entity"))
+
+
+def canonical(found: DataFrame, components: DataFrame, chunks: DataFrame, generic: tuple[str, ...] = ()) -> DataFrame:
+    """(entity, name, type, aliases, chunks, role): one row per component of the mentions.
+
+    The earliest form and type stand for it, the other forms are its aliases. chunks: id and
+    title_path; chunks without a title don't speak for or against a metadata section.
+    """
+    named = found.join(components, "norm")
+    at = F.struct("chunk_id", "pos", "name", "type")
+    out = named.groupBy("entity").agg(
+        F.min_by("name", at).alias("name"), F.min_by("type", at).alias("type"),
+        F.array_union(F.collect_set("name"), F.flatten(F.collect_set("aliases"))).alias("forms"), F.count_distinct("chunk_id").alias("chunks"),
+    )
+    titles = chunks.where("title_path != ''").select(F.col("id").alias("chunk_id"), "title_path")
+    meta = named.select("entity", "chunk_id").join(titles, "chunk_id").groupBy("entity").agg(only_metadata(F.col("title_path")).alias("meta"))
+    out = out.join(meta, "entity", "left").withColumn("role", classify(F.col("name"), F.coalesce("meta", F.lit(False)), generic))
+    return out.select("entity", "name", "type", F.array_sort(F.array_except("forms", F.array("name"))).alias("aliases"), "chunks", "role")
+
+
+def relations_of(extracts: DataFrame) -> DataFrame:
+    """(chunk_id, s, predicate, o): relations of finished records, ends in normal form; repeats stay."""
+    ok = extracts.where("status = 'ok' and result is not null").select("chunk_id", "result").distinct()
+    rows = ok.select("chunk_id", F.explode(validated(parse_extraction(F.col("result")))["relations"]).alias("r"))
+    return rows.select("chunk_id", normalized_name(F.col("r.subject")).alias("s"), "r.predicate", normalized_name(F.col("r.object")).alias("o"))

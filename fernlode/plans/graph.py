@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernlode.operators import communities, graph
-from fernlode.operators.components import connected_components
 from fernlode.plans.registry import query
-from fernlode.sources.tables import table
+from fernlode.session import materialize
+from fernlode.sources.tables import setting, table
 
 _WEIGHTS = """w AS (SELECT least(source_entity_id, target_entity_id) AS a, greatest(source_entity_id, target_entity_id) AS b, count(*) AS weight
   FROM relations WHERE source_entity_id IS NOT NULL AND target_entity_id IS NOT NULL GROUP BY 1, 2)"""
 _DEGREES = "deg AS (SELECT e AS id, count(DISTINCT n) AS degree FROM (SELECT a AS e, b AS n FROM w UNION ALL SELECT b, a FROM w) GROUP BY e)"
-_NODES = f"nodes AS (SELECT e.id, e.name, coalesce(degree, 0) AS degree FROM entities e LEFT JOIN deg USING (id) ORDER BY coalesce(degree, 0) DESC, e.id LIMIT {graph.FULL_NODES})"
+_NODES = f"nodes AS (SELECT e.id, e.name, coalesce(degree, 0) AS degree FROM entities e LEFT JOIN deg USING (id) WHERE e.graph_role = 'keep' ORDER BY coalesce(degree, 0) DESC, e.id LIMIT {graph.FULL_NODES})"
 _SPACE = r"[\s\x{00A0}\x{2000}-\x{200A}\x{202F}\x{3000}\x{FEFF}]+"
 
 
@@ -61,40 +61,63 @@ def entity_normalize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "entities").select("id", graph.normalized_name(F.col("name")).alias("norm"))
 
 
-_CLEAN = """trim(regexp_replace(regexp_replace(trim(name), '^["''“”‘’《》「」【】]+|["''“”‘’《》「」【】]+$', '', 'g'), '[,，。.;；:：!！?？、]+$', ''))"""
+# The rules of names, written out for SQL on their own.
+_TRIM = r"[\s\x{00A0}\x{2000}-\x{200A}\x{202F}\x{3000}\x{FEFF}]+"
 
 
-@query(
-    f"""SELECT id, n AS clean, length(n) >= 2 AND length(n) <= CASE WHEN regexp_matches(n, '[A-Za-z]+[-/ ]?[0-9]{{2,}}') THEN 60 ELSE 18 END
-  AND NOT regexp_matches(n, '^[0-9./年月日:：% -]+$') AND NOT regexp_matches(n, '{graph.CONNECTORS}') AS meaningful FROM (SELECT id, {_CLEAN} AS n FROM entities)"""
-)
+def _trim(x: str) -> str:
+    return f"regexp_replace({x}, '^{_TRIM}|{_TRIM}$', '', 'g')"
+
+
+def _clean(x: str) -> str:
+    inner = f"""regexp_replace({_trim(x)}, '^["''【\\[（(]+|["''】\\]）)]+$', '', 'g')"""
+    return _trim(f"regexp_replace({inner}, '[。，；：!！?？]+$', '')")
+
+
+def _meaningful(n: str) -> str:
+    return f"""(length({n}) >= 2 AND length({n}) <= CASE WHEN regexp_matches({n}, '《|》|NU-|T/|GB\\s|WS\\s|Q/|〔|（\\d|[A-Z]{{2,}}[/-]\\d', 'i') THEN 60 ELSE 18 END
+  AND NOT regexp_matches({n}, '^[\\d\\s.\\-:：年月日时分秒/号]+$') AND NOT regexp_matches({n}, '及各种|以及|等等|什么的|比如|例如|包括|还有'))"""
+
+
+@query(f"SELECT id, n AS clean, {_meaningful('n')} AS meaningful FROM (SELECT id, {_clean('name')} AS n FROM entities)")
 def entity_clean_name(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "entities").select("id", graph.clean_name(F.col("name")).alias("clean"))
     return rows.withColumn("meaningful", graph.meaningful(F.col("clean")))
 
 
-_IN_GENERIC = ", ".join(f"'{g}'" for g in graph.GENERIC)
-_CLASS = f"""CASE WHEN regexp_matches(name, '^[A-Z]{{1,5}}(-[A-Z0-9]{{1,6}}){{2,}}$') THEN 'weak'
-  WHEN length(name) > 20 OR regexp_matches(name, '[{{}}<>|]') OR regexp_matches(name, '^[^\\p{{L}}\\p{{N}}]+$') THEN 'drop'
-  WHEN regexp_matches(name, '^[0-9]+(\\.[0-9]+)?(岁|人|个|元|%|件|次|天|年)$') THEN 'drop'
-  WHEN regexp_matches(name, '^[\\x{{4E00}}-\\x{{9FFF}}]{{2,4}}$') AND len(titles) > 0
-    AND len(list_filter(titles, lambda t: NOT regexp_matches(t, '^({"|".join(graph.METADATA_TITLES)})'))) = 0 THEN 'drop'
-  WHEN lower(name) IN ({_IN_GENERIC}) OR regexp_matches(name, '^各.{{1,4}}$') THEN 'weak' ELSE 'keep' END"""
-_TITLES = """t AS (SELECT e.id, e.name, coalesce(list(DISTINCT c.title_path) FILTER (c.title_path != ''), []) AS titles
+_CLASS = r"""CASE WHEN regexp_matches(name, '^[A-Z]{2,4}(-[A-Z]{2,4})+-\d') THEN 'weak'
+  WHEN length(name) > 20 OR regexp_matches(name, '[（(][^）)]*$|、|^只能|^不[是定止]|及以上$|以下$|以内$|（[^）]*）[^\n]{0,6}的$') THEN 'drop'
+  WHEN regexp_matches(name, '^[^\s\x{3000}]{1,8}(\d+(\.\d+)?\s*(m|cm|分|元|%|倍|岁|℃))$') THEN 'drop'
+  WHEN regexp_matches(name, '^[一-龥]{2,4}$') AND metadata_only THEN 'drop'
+  WHEN name IN ('用户', '客户', '员工', '人员', '公司', '团队', '部门', '单位', '流程', '制度', '规范', '管理', '工作', '内容', '问题', '情况', '方面', '措施')
+    OR regexp_matches(name, '^各[一个]?(护理单元|科室|部门|单位|病区|单元|岗位|级|类)') THEN 'weak' ELSE 'keep' END"""
+_TITLES = """t AS (SELECT e.id, e.name, count(DISTINCT coalesce(c.title_path, '')) FILTER (c.id IS NOT NULL) AS titles,
+  coalesce(bool_and(regexp_matches(coalesce(c.title_path, ''), '文档历史|文件历史|修订记录|文档变更')) FILTER (c.id IS NOT NULL), false) AS metadata_only
   FROM entities e LEFT JOIN chunk_entities m ON m.entity_id = e.id LEFT JOIN chunks c ON c.id = m.chunk_id GROUP BY e.id, e.name)"""
 
 
 def _titled(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "chunks").select(F.col("id").alias("chunk_id"), "title_path").where("title_path != ''")
-    titles = table(spark, d, "chunk_entities").join(chunks, "chunk_id").groupBy(F.col("entity_id").alias("id")).agg(F.collect_set("title_path").alias("titles"))
-    rows = table(spark, d, "entities").select("id", "name", "graph_role").join(titles, "id", "left")
-    return rows.withColumn("titles", F.coalesce("titles", F.array().cast("array<string>")))
+    """(id, name, titles, metadata_only) of every entity; different titles are counted in two steps."""
+    chunks = table(spark, d, "chunks").select(F.col("id").alias("chunk_id"), F.coalesce("title_path", F.lit("")).alias("title"))
+    found = table(spark, d, "chunk_entities").join(chunks, "chunk_id").select(F.col("entity_id").alias("id"), "title").distinct()
+    titles = found.groupBy("id").agg(F.count("*").alias("titles"), graph.only_metadata(F.col("title")).alias("metadata_only"))
+    rows = table(spark, d, "entities").select("id", "name").join(titles, "id", "left")
+    return rows.fillna({"titles": 0, "metadata_only": False})
+
+
+def _roles(spark: SparkSession, d: str) -> DataFrame:
+    return _titled(spark, d).withColumn("role", graph.classify(F.col("name"), F.col("metadata_only"), generic_words(spark, d)))
+
 
+def generic_words(spark: SparkSession, d: str) -> tuple[str, ...]:
+    """The library's own words without meaning: setting genericEntities, or its place under graph."""
+    words = setting(spark, d, "graph").get("genericEntities") or setting(spark, d, "genericEntities").get("genericEntities") or ()
+    return tuple(w for w in words if isinstance(w, str))
 
-@query(f"WITH {_TITLES} SELECT id, {_CLASS} AS role, len(titles) AS titles FROM t")
+
+@query(f"WITH {_TITLES} SELECT id, {_CLASS} AS role, titles FROM t")
 def entity_classify(spark: SparkSession, d: str) -> DataFrame:
-    rows = _titled(spark, d)
-    return rows.select("id", graph.classify(F.col("name"), F.col("titles")).alias("role"), F.size("titles").alias("titles"))
+    return _roles(spark, d).select("id", "role", "titles")
 
 
 @query(
@@ -107,7 +130,7 @@ SELECT (SELECT count(*) FROM entities) AS before_entities, (SELECT count(*) FROM
 def clean_counts(spark: SparkSession, d: str) -> DataFrame:
     """Counts before and after the rules are applied: dropped entities lose relations and
     memberships, weak ones their relations."""
-    roles = _titled(spark, d).select("id", graph.classify(F.col("name"), F.col("titles")).alias("role"))
+    roles = _roles(spark, d).select("id", "role")
     relations, members = table(spark, d, "relations"), table(spark, d, "chunk_entities")
     bad = roles.where("role != 'keep'").select("id")
     kept = relations.join(bad.withColumnRenamed("id", "source_entity_id"), "source_entity_id", "left_anti").join(
@@ -144,7 +167,7 @@ def degree(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_WEIGHTS}, {_DEGREES}, {_NODES} SELECT * FROM nodes")
 def full_graph_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return graph.full_nodes(table(spark, d, "entities").select("id", "name"), _edges(spark, d))
+    return graph.full_nodes(table(spark, d, "entities").select("id", "name", "graph_role"), _edges(spark, d)).drop("graph_role")
 
 
 @query(
@@ -153,7 +176,7 @@ SELECT a, b, weight, round(log2(weight + 1) / log2((SELECT max(weight) FROM top)
 )
 def full_graph_edges(spark: SparkSession, d: str) -> DataFrame:
     edges = _edges(spark, d)
-    nodes = graph.full_nodes(table(spark, d, "entities").select("id", "name"), edges)
+    nodes = graph.full_nodes(table(spark, d, "entities").select("id", "name", "graph_role"), edges)
     most = edges.agg(F.max("weight").alias("most"))
     out = graph.full_edges(edges, nodes).crossJoin(F.broadcast(most))  # one row
     return out.select("a", "b", "weight", F.round(F.log2(F.col("weight") + 1) / F.log2(F.col("most") + 1), 6).alias("norm"))
@@ -268,7 +291,7 @@ SELECT id, round((90 + 340 * sqrt(i / n)) * cos(2.39996 * i), 4) AS x, round((90
 )
 def layout_spiral(spark: SparkSession, d: str) -> DataFrame:
     """First places of the full view's nodes, FULL_NODES at most."""
-    nodes = graph.full_nodes(table(spark, d, "entities").select("id"), _edges(spark, d))
+    nodes = graph.full_nodes(table(spark, d, "entities").select("id", "graph_role"), _edges(spark, d))
     order = F.row_number().over(Window.orderBy(F.desc("degree"), "id")) - 1  # a bounded view
     placed = nodes.withColumn("i", order).crossJoin(F.broadcast(nodes.agg(F.count("*").alias("n"))))
     r = 90 + 340 * F.sqrt(F.col("i") / F.col("n"))
@@ -284,10 +307,38 @@ def _mentions(spark: SparkSession, d: str) -> DataFrame:
     return graph.mentions(table(spark, d, "graph_extract"))
 
 
-@query()
+def _text(items: str, *fields: str) -> Column:
+    """An array of structs as text, for comparison."""
+    return F.array_join(F.transform(items, lambda x: F.concat_ws("|", *(F.array_join(x[f], ",") if f == "aliases" else x[f] for f in fields))), ";")
+
+
+_SQL_RECORD = rf"""rec AS (SELECT *, row_number() OVER () AS row_no FROM (SELECT chunk_id, status, regexp_extract(result, '(?s)\{{.*\}}') AS j FROM graph_extract WHERE result IS NOT NULL) WHERE true),
+good AS (SELECT row_no, chunk_id, status, j::JSON AS j FROM (SELECT * FROM rec WHERE j != '' AND json_valid(j)) WHERE json_type(j::JSON, '$.entities') = 'ARRAY' AND json_type(j::JSON, '$.relations') = 'ARRAY'),
+e0 AS (SELECT row_no, chunk_id, status, unnest(CAST(j->'$.entities' AS JSON[])) AS e, generate_subscripts(CAST(j->'$.entities' AS JSON[]), 1) AS nth FROM good),
+e1 AS (SELECT *, {_clean("e->>'name'")} AS name, coalesce(nullif({_trim("e->>'type'")}, ''), 'concept') AS type,
+  list_slice(list_filter(list_transform(coalesce(CAST(e->'$.aliases' AS VARCHAR[]), []), lambda x: {_trim('x')}), lambda x: x != ''), 1, 12) AS aliases FROM e0 WHERE {_trim("e->>'name'")} != ''),
+e2 AS (SELECT *, row_number() OVER (PARTITION BY row_no ORDER BY nth) - 1 AS pos FROM e1 WHERE {_meaningful('name')} QUALIFY pos < 8),
+n2 AS (SELECT DISTINCT row_no, {_norm('name')} AS norm FROM e2),
+r0 AS (SELECT row_no, chunk_id, status, unnest(CAST(j->'$.relations' AS JSON[])) AS r, generate_subscripts(CAST(j->'$.relations' AS JSON[]), 1) AS nth FROM good),
+r1 AS (SELECT row_no, chunk_id, status, nth, {_trim("r->>'subject'")} AS s, {_trim("r->>'predicate'")} AS p, {_trim("r->>'object'")} AS o FROM r0),
+r2 AS (SELECT r1.*, {_norm('s')} AS sn, {_norm('o')} AS on_ FROM r1 WHERE p != '' AND EXISTS (FROM n2 WHERE n2.row_no = r1.row_no AND n2.norm = {_norm('r1.s')})
+  AND EXISTS (FROM n2 WHERE n2.row_no = r1.row_no AND n2.norm = {_norm('r1.o')}) QUALIFY row_number() OVER (PARTITION BY r1.row_no ORDER BY nth) <= 6)"""
+
+
+@query(
+    f"""WITH {_SQL_RECORD} SELECT rec.chunk_id, rec.status, good.row_no IS NOT NULL AS usable,
+  CASE WHEN good.row_no IS NOT NULL THEN coalesce((SELECT string_agg(name || '|' || type || '|' || array_to_string(aliases, ','), ';' ORDER BY pos) FROM e2 WHERE e2.row_no = rec.row_no), '') END AS entities,
+  CASE WHEN good.row_no IS NOT NULL THEN coalesce((SELECT string_agg(s || '|' || p || '|' || o, ';' ORDER BY nth) FROM r2 WHERE r2.row_no = rec.row_no), '') END AS relations
+FROM rec LEFT JOIN good USING (row_no)"""
+)
 def extraction_validate(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of each raw record after cleaning, as text."""
     rows = table(spark, d, "graph_extract").where("result is not null")
-    return rows.select("chunk_id", "status", graph.validated(graph.parse_extraction(F.col("result"))).alias("record"))
+    rows = rows.select("chunk_id", "status", graph.validated(graph.parse_extraction(F.col("result"))).alias("r"))
+    return rows.select(
+        "chunk_id", "status", F.col("r").isNotNull().alias("usable"),
+        _text("r.entities", "name", "type", "aliases").alias("entities"), _text("r.relations", "subject", "predicate", "object").alias("relations"),
+    )
 
 
 @query(
@@ -304,40 +355,75 @@ def alias_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def _components(spark: SparkSession, d: str) -> DataFrame:
     """(norm, entity): normal names and the least name of their component."""
-    found = _mentions(spark, d)
-    labels = connected_components(graph.alias_edges(found)).select(F.col("node").alias("norm"), "label")
-    names = found.select("norm").distinct()
-    return names.join(labels, "norm", "left").select("norm", F.coalesce("label", "norm").alias("entity"))
+    return graph.components_of(_mentions(spark, d))
 
 
-@query()
+# names that share a component reach each other over aliases; the least one stands for it
+_SQL_COMPONENTS = f"""m AS (SELECT DISTINCT chunk_id, pos, name, type, {_norm('name')} AS norm, aliases FROM e2 WHERE status = 'ok'),
+al AS (SELECT DISTINCT norm AS a, {_norm('x')} AS b FROM (SELECT norm, unnest(aliases) AS x FROM m)),
+arcs AS (SELECT a, b FROM al WHERE a != '' AND b != '' UNION SELECT b, a FROM al WHERE a != '' AND b != ''),
+walk AS (SELECT norm, norm AS seen FROM (SELECT DISTINCT norm FROM m) UNION SELECT norm, b FROM walk JOIN arcs ON a = seen),
+comp AS (SELECT norm, min(seen) AS entity FROM walk GROUP BY norm)"""
+
+
+@query(f"WITH RECURSIVE {_SQL_RECORD}, {_SQL_COMPONENTS} SELECT norm, entity FROM comp")
 def alias_components(spark: SparkSession, d: str) -> DataFrame:
     return _components(spark, d)
 
 
-@query()
+_SQL_CANON = f"""{_SQL_RECORD}, {_SQL_COMPONENTS},
+named AS (SELECT m.*, entity FROM m JOIN comp USING (norm)),
+canon AS (SELECT entity, arg_min(name, (chunk_id, pos, name, type)) AS name, arg_min(type, (chunk_id, pos, name, type)) AS type, count(DISTINCT chunk_id) AS chunks FROM named GROUP BY entity),
+forms AS (SELECT DISTINCT entity, name AS form FROM named UNION SELECT entity, unnest(aliases) FROM named),
+meta AS (SELECT entity, bool_and(regexp_matches(title_path, '文档历史|文件历史|修订记录|文档变更')) AS metadata_only
+  FROM named JOIN chunks c ON c.id = named.chunk_id WHERE c.title_path != '' GROUP BY entity),
+ce AS (SELECT canon.*, {_CLASS.replace('metadata_only', 'coalesce(metadata_only, false)')} AS role FROM canon LEFT JOIN meta USING (entity))"""
+
+
+@query(
+    f"""WITH RECURSIVE {_SQL_CANON} SELECT entity, name, type, coalesce((SELECT string_agg(form, ';' ORDER BY form) FROM forms WHERE forms.entity = ce.entity AND form != ce.name), '') AS aliases, chunks, role FROM ce"""
+)
 def canonical_entities(spark: SparkSession, d: str) -> DataFrame:
-    """One row per component: the earliest form and type, and the other forms as aliases."""
-    found = _mentions(spark, d).join(_components(spark, d), "norm")
-    at = F.struct("chunk_id", "pos")
-    out = found.groupBy("entity").agg(
-        F.min_by("name", at).alias("name"), F.min_by("type", at).alias("type"), F.min(at).alias("first"),
-        F.array_union(F.collect_set("name"), F.flatten(F.collect_set("aliases"))).alias("forms"), F.count_distinct("chunk_id").alias("chunks"),
-    )
-    return out.select("entity", "name", "type", F.array_sort(F.array_except("forms", F.array("name"))).alias("aliases"), "chunks", graph.classify(F.col("name")).alias("role"))
+    """One row per component: the earliest form and type, the other forms as aliases, and the role by
+    the rules of names and the titles of the chunks."""
+    out = graph.canonical(_mentions(spark, d), _components(spark, d), table(spark, d, "chunks"), generic_words(spark, d))
+    return out.withColumn("aliases", F.array_join("aliases", ";"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_SQL_CANON}, once AS (SELECT DISTINCT j::VARCHAR AS j, chunk_id, min(row_no) AS row_no FROM good WHERE status = 'ok' GROUP BY 1, 2)
+SELECT a.entity AS source, p AS predicate, b.entity AS target, r2.chunk_id FROM r2 JOIN once USING (row_no) JOIN comp a ON a.norm = sn JOIN comp b ON b.norm = on_
+WHERE a.entity != b.entity AND a.entity IN (SELECT entity FROM ce WHERE role = 'keep') AND b.entity IN (SELECT entity FROM ce WHERE role = 'keep')"""
+)
 def relation_materialize(spark: SparkSession, d: str) -> DataFrame:
     """Relations of the records between kept components, without self-loops, duplicates kept."""
-    ok = table(spark, d, "graph_extract").where("status = 'ok' and result is not null").select("chunk_id", "result").distinct()
-    rows = ok.select("chunk_id", F.explode(graph.validated(graph.parse_extraction(F.col("result")))["relations"]).alias("r"))
-    rows = rows.select("chunk_id", graph.normalized_name(F.col("r.subject")).alias("s"), "r.predicate", graph.normalized_name(F.col("r.object")).alias("o"))
-    comps = _components(spark, d)
-    kept = canonical_entities(spark, d).where("role = 'keep'").select("entity")
-    out = rows.join(comps.select(F.col("norm").alias("s"), F.col("entity").alias("source")), "s").join(comps.select(F.col("norm").alias("o"), F.col("entity").alias("target")), "o")
-    out = out.where("source != target").join(kept.withColumnRenamed("entity", "source"), "source", "left_semi")
-    return out.join(kept.withColumnRenamed("entity", "target"), "target", "left_semi").select("source", "predicate", "target", "chunk_id")
+    kept = graph.canonical(_mentions(spark, d), _components(spark, d), table(spark, d, "chunks"), generic_words(spark, d)).where("role = 'keep'")
+    named = _components(spark, d).join(kept.select("entity"), "entity", "left_semi")
+    rows = graph.relations_of(table(spark, d, "graph_extract"))
+    out = rows.join(named.select(F.col("norm").alias("s"), F.col("entity").alias("source")), "s").join(named.select(F.col("norm").alias("o"), F.col("entity").alias("target")), "o")
+    return out.where("source != target").select("source", "predicate", "target", "chunk_id")
+
+
+@query(
+    f"""WITH {_WEIGHTS}, {_DEGREES}, {_NODES}, top AS (SELECT * FROM w ORDER BY weight DESC, a, b LIMIT 8000),
+shown AS (SELECT * FROM top WHERE a IN (SELECT id FROM nodes) AND b IN (SELECT id FROM nodes))
+SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM shown) AS edges, (SELECT count(*) FROM nodes) >= 5000 OR (SELECT count(*) FROM shown) >= 8000 AS truncated"""
+)
+def full_graph_size(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes and edges of the full view, and whether its limits cut it."""
+    edges = _edges(spark, d)
+    nodes = graph.full_nodes(table(spark, d, "entities").select("id", "graph_role"), edges)
+    counts = nodes.agg(F.count("*").alias("nodes")).crossJoin(graph.full_edges(edges, nodes).agg(F.count("*").alias("edges")))  # one row each
+    return counts.withColumn("truncated", (F.col("nodes") >= graph.FULL_NODES) | (F.col("edges") >= graph.FULL_EDGES))
+
+
+@query()
+def full_graph_communities(spark: SparkSession, d: str) -> DataFrame:
+    """The full view's nodes with their type, degree and community; a node without a shown edge is its own."""
+    edges = _edges(spark, d)
+    nodes = materialize(graph.full_nodes(table(spark, d, "entities").select("id", "name", "type", "graph_role"), edges), "nodes")
+    found = communities.communities(graph.full_edges(edges, nodes)).withColumnRenamed("node", "id")
+    return nodes.drop("graph_role").join(found, "id", "left").withColumn("community", F.coalesce("community", "id"))
 
 
 @query()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fernlode.functions import text as tx
 from fernlode.operators import lifecycle
 from fernlode.plans.registry import query
-from fernlode.sources.tables import table
+from fernlode.sources.tables import setting, table
 
 _COUNT = "count(*) FILTER (WHERE status = '{s}') AS {s}"
 
@@ -185,21 +185,26 @@ def config_settings(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT len(embedding) AS dims, count(*) AS n, coalesce(len(embedding) = (SELECT (value->>'dimensions')::INT FROM config WHERE key = 'index'), false) AS fits
-  FROM vec_index GROUP BY 1, 3"""
+    """WITH i AS (SELECT coalesce(max(value->>'provider'), '') AS provider, coalesce(max(value->>'model'), '') AS model, coalesce(max((value->>'dimensions')::INT), 0) AS dims FROM config WHERE key = 'index'),
+asked(provider, model, dims) AS (VALUES ('local', 'kb-embed-64', 64), ('local', 'kb-embed-128', 64), ('remote', 'kb-embed-64', 64), ('local', 'kb-embed-64', 128), ('local', 'kb-embed-64', 0)),
+sizes AS (SELECT coalesce(len(embedding), 0) AS found, count(*) AS n FROM vec_index GROUP BY 1)
+SELECT a.provider, a.model, a.dims, CASE WHEN i.model = '' THEN 'empty' WHEN i.model != a.model OR i.provider != a.provider THEN 'model differs'
+  WHEN a.dims != 0 AND i.dims != 0 AND a.dims != i.dims THEN 'dimensions differ' ELSE 'ok' END AS verdict,
+  (SELECT coalesce(sum(n), 0)::BIGINT FROM sizes WHERE found = i.dims) AS fitting FROM asked a, i"""
 )
 def fingerprint_check(spark: SparkSession, d: str) -> DataFrame:
-    dims = table(spark, d, "config").where("key = 'index'").select(F.get_json_object("value", "$.dimensions").cast("int").alias("want"))
-    sizes = table(spark, d, "vec_index").select(F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dims"))
-    grouped = sizes.groupBy("dims").agg(F.count("*").alias("n"))
-    return grouped.crossJoin(F.broadcast(dims)).select("dims", "n", F.coalesce(F.col("dims") == F.col("want"), F.lit(False)).alias("fits"))
+    """What a search with a given embedding service is told about the index, and how many vectors have the index's length."""
+    index = setting(spark, d, "index")
+    services = [("local", "kb-embed-64", 64), ("local", "kb-embed-128", 64), ("remote", "kb-embed-64", 64), ("local", "kb-embed-64", 128), ("local", "kb-embed-64", 0)]
+    rows = [(*s, tx.fingerprint(index, *s) or "ok") for s in services]
+    fitting = table(spark, d, "vec_index").agg(F.count_if(F.size("embedding") == F.lit(int(index.get("dimensions") or 0))).alias("fitting"))
+    told = spark.createDataFrame(rows, "provider string, model string, dims int, verdict string")
+    return told.crossJoin(F.broadcast(fitting))  # one row
 
 
-_SQL_MAPPED = """CASE WHEN error_message IS NULL THEN NULL WHEN regexp_matches(lower(error_message), 'time ?d? ?out|timeout|abort') THEN 'timeout'
-  WHEN regexp_matches(lower(error_message), '401|403|unauthor|api key') THEN 'credentials'
-  WHEN regexp_matches(lower(error_message), '429|rate|too many') THEN 'rate limit'
-  WHEN regexp_matches(lower(error_message), 'empty|blank|no text|scan') THEN 'no text'
-  WHEN regexp_matches(lower(error_message), 'format|unsupported|extension') THEN 'format' ELSE 'other' END"""
+_SQL_MAPPED = """CASE WHEN error_message IS NULL THEN NULL WHEN contains(error_message, 'not declared in manifest') THEN 'service not allowed'
+  WHEN contains(error_message, 'fetch failed') OR contains(error_message, 'ENOTFOUND') THEN 'service unreachable'
+  WHEN regexp_matches(error_message, 'embedding|api key|config', 'i') THEN 'embedding not configured' ELSE error_message END"""
 
 
 @query(f"SELECT {_SQL_MAPPED} AS reason, count(*) AS n FROM documents GROUP BY 1")
@@ -218,7 +223,7 @@ def file_type_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT DISTINCT source, CASE WHEN regexp_matches(source, '^[A-Za-z0-9][A-Za-z0-9_-]{0,63}$') THEN source
+    """SELECT DISTINCT source, CASE WHEN trim(source) = '' THEN NULL WHEN regexp_matches(source, '^[A-Za-z0-9][A-Za-z0-9_-]{0,63}$') THEN source
   ELSE 'kb-' || substr(sha256(source), 1, 16) END AS library_id FROM documents WHERE source IS NOT NULL"""
 )
 def safe_library_id(spark: SparkSession, d: str) -> DataFrame:
@@ -226,12 +231,16 @@ def safe_library_id(spark: SparkSession, d: str) -> DataFrame:
     return names.withColumn("library_id", tx.library_id(F.col("source")))
 
 
-@query("SELECT strftime(max(updated_at), '%Y-%m-%d %H:%M:%S') AS last_change, bool_or(status IN ('pending', 'processing')) AS busy FROM documents")
+@query(
+    """SELECT (SELECT strftime(max(updated_at), '%Y-%m-%d %H:%M:%S') FROM (SELECT updated_at FROM documents ORDER BY updated_at DESC NULLS LAST, doc_id DESC LIMIT 25)) AS last_change,
+  (SELECT bool_or(status IN ('pending', 'processing')) FROM documents) AS busy"""
+)
 def library_label(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").agg(
-        F.date_format(F.max("updated_at"), "yyyy-MM-dd HH:mm:ss").alias("last_change"),
-        F.bool_or(F.col("status").isin("pending", "processing")).alias("busy"),
-    )
+    """Last change among the documents of the first page as it is listed, and whether any document is at work."""
+    docs = table(spark, d, "documents")
+    page = docs.select("updated_at", "doc_id").orderBy(F.desc_nulls_last("updated_at"), F.desc("doc_id")).limit(25)
+    last = page.agg(F.date_format(F.max("updated_at"), "yyyy-MM-dd HH:mm:ss").alias("last_change"))
+    return last.crossJoin(docs.agg(F.bool_or(F.col("status").isin("pending", "processing")).alias("busy")))  # one row each
 
 
 @query("SELECT doc_id, strftime(updated_at + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS local_time FROM documents")
@@ -255,8 +264,9 @@ def source_catalog(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT path, regexp_extract(path, '[^/]+$') AS base, regexp_matches(lower(path), '(^|/)(\\.env[^/]*|id_rsa[^/]*|[^/]*(credential|password|secret|密码|私钥)[^/]*)$')
-  OR regexp_matches(lower(path), '(^|/)\\.(ssh|aws|gnupg)/') AS sensitive, lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) IN ('md', 'txt', 'docx', 'pdf', 'pptx', 'xlsx', 'html') AS wanted
+    """SELECT path, regexp_extract(path, '[^/]+$') AS base,
+  regexp_matches(regexp_extract(path, '[^/]*$'), '\\.env|id_rsa|id_ed25519|credential|password|passwd|secret|private[_-]?key|access[_-]?token|keychain|wallet|钥匙串|密码|口令|密钥|凭据', 'i')
+  OR regexp_matches(path, '(^|[/\\\\])(\\.ssh|\\.gnupg|\\.aws|\\.kube|credentials)([/\\\\]|$)', 'i') AS sensitive, lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) IN ('md', 'txt', 'docx', 'pdf', 'pptx', 'xlsx', 'html') AS wanted
   FROM documents"""
 )
 def path_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -289,12 +299,17 @@ def document_preview(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SQL_URL = r"regexp_extract(normalized_text, '^---\nsource: (\S+)', 1)"
-_SQL_HOST = f"regexp_extract({_SQL_URL}, '^[a-z]+://([^/:?#]+)', 1)"
+_SQL_HOST = f"lower(regexp_extract({_SQL_URL}, '^[a-z]+://([^/:?#]+)', 1))"
+_SQL_PART = r"\.[0-9]{1,3}"
+_SQL_PRIVATE = (
+    f"({_SQL_HOST} IN ('', 'localhost', '::1', '[::1]') OR {_SQL_HOST} LIKE '%.localhost' OR regexp_full_match({_SQL_HOST}, "
+    rf"'(0|10|127)({_SQL_PART}){{{{3}}}}|(192\.168|169\.254|172\.(1[6-9]|2[0-9]|3[01]))({_SQL_PART}){{{{2}}}}'))".replace("{{", "{").replace("}}", "}")
+)
 
 
 @query(
-    rf"""SELECT doc_id, {_SQL_URL} AS url, {_SQL_HOST} AS host, regexp_matches({_SQL_HOST}, '{tx.PRIVATE_HOST}') AS private,
-  regexp_matches({_SQL_URL}, '^https?://') AND NOT regexp_matches({_SQL_HOST}, '{tx.PRIVATE_HOST}') AS fetchable
+    rf"""SELECT doc_id, {_SQL_URL} AS url, {_SQL_HOST} AS host, {_SQL_PRIVATE} AS private,
+  regexp_matches({_SQL_URL}, '^https?://') AND NOT {_SQL_PRIVATE} AS fetchable
   FROM documents WHERE fmt = 'web' AND {_SQL_URL} != ''"""
 )
 def url_hosts(spark: SparkSession, d: str) -> DataFrame:
