@@ -9,67 +9,70 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fernlode.functions.text import trimmed
+
 # Default lengths; signs that make a number a quantity, not a clause.
 TARGET, HARD_STEP, MIN_LENGTH, MAX_LENGTH = 400, 350, 30, 640
 UNITS = "倍折元年月日岁斤米升克℃°%版本"
 CONTINUED = "（续）"
-# Numberings and their levels, in the order in which they are tried.
+# Chinese numerals, and numberings with their levels, in the order in which they are
+# tried; a chain of numbers has the level of its parts and one.
+NUMERALS = "一二三四五六七八九十百千零两"
 CLAUSES = (
-    (r"^第[一二三四五六七八九十百零〇0-9]+[章节篇]", 2),
-    (r"^[一二三四五六七八九十]+、", 3),
-    (r"^第[一二三四五六七八九十百零〇0-9]+条", 4),
-    (r"^[（(][一二三四五六七八九十]+[）)]", 5),
-    (r"^[0-9]+(\.[0-9]+)+", 0),
-    (r"^[0-9]+[.．、]", 6),
-    (r"^[（(][0-9]+[）)]", 7),
+    (rf"^第[{NUMERALS}0-9]+[章节篇]", 2),
+    (rf"^[{NUMERALS}]+、", 3),
+    (rf"^第[{NUMERALS}0-9]+条", 4),
+    (rf"^[（(][{NUMERALS}]+[)）]", 5),
+    (r"^[0-9]{1,3}(?:[.．][0-9]{1,3})+(?![.．0-9])", 0),
+    (r"^[0-9]+[.．、](?![0-9])", 6),
+    (r"^[（(][0-9]+[)）]", 7),
     (r"^[①-⑳]", 8),
 )
-_QUANTITY = rf"^[0-9]+(\.[0-9]+)*[{UNITS}]"
+_BOLD, _HEADING = r"^\*\*([^*]+)\*\*\s*$", r"^(#{1,6})\s+(.+?)\s*$"
 
 
 def clause_level(line: Column) -> Column:
-    """Level of a numbered line as a column; null if it isn't one."""
-    chain = F.regexp_extract(line, CLAUSES[4][0], 0)
+    """Level of a numbered line as a column; null if it isn't one, or if a unit of quantity follows the number."""
     level = F.lit(None).cast("int")
     for pattern, n in reversed(CLAUSES):
-        this = F.lit(n) if n else F.size(F.split(chain, r"\.")) + 1
-        level = F.when(line.rlike(pattern), this).otherwise(level)
-    return F.when(~line.rlike(_QUANTITY), level)
+        this = F.lit(n) if n else F.size(F.split(F.regexp_extract(line, pattern, 0), "[.．]")) + 1
+        unit = line.rlike(f"{pattern}[{UNITS}]")
+        level = F.when(line.rlike(pattern), F.when(~unit, this)).otherwise(level)
+    return level
 
 
 def line_level(line: Column) -> Column:
     """Level of a heading or numbered line: Markdown headings, bold numbered lines as 2, clauses."""
-    bold = F.regexp_extract(line, r"^\*\*(.+)\*\*$", 1)
-    marks = F.length(F.regexp_extract(line, r"^(#{1,6})\s", 1))
-    return (
-        F.when(marks > 0, marks)
-        .when((bold != "") & clause_level(F.trim(bold)).isNotNull(), F.lit(2))
-        .otherwise(clause_level(F.trim(line)))
-    )
+    bare = trimmed(line)
+    bold = trimmed(F.regexp_extract(bare, _BOLD, 1))
+    marks = F.length(F.regexp_extract(bare, _HEADING, 1))
+    numbered = reduce(lambda a, b: a | b, (bold.rlike(p) for p, _ in CLAUSES))
+    return F.when(marks > 0, marks).when(numbered, F.lit(2)).otherwise(clause_level(bare))
 
 
 def level_of(line: str) -> tuple[int, bool, str] | None:
     """(level, is it a heading, label) of a line."""
-    if m := re.match(r"^(#{1,6})\s+(.*)$", line):
-        return len(m[1]), True, m[2].strip()
     bare = line.strip()
-    if (m := re.match(r"^\*\*(.+)\*\*$", bare)) and _clause(m[1].strip()):
+    if m := re.match(_HEADING, bare):
+        return len(m[1]), True, m[2].strip()
+    if (m := re.match(_BOLD, bare)) and any(re.match(p, m[1].strip()) for p, _ in CLAUSES):
         return 2, True, m[1].strip()
     n = _clause(bare)
     return (n, False, bare[:40]) if n else None
 
 
 def _clause(line: str) -> int:
-    if re.match(_QUANTITY, line):
-        return 0
     for pattern, n in CLAUSES:
         if m := re.match(pattern, line):
-            return n or m[0].count(".") + 2
+            if line[m.end() : m.end() + 1] in tuple(UNITS):
+                return 0
+            return n or len(re.split("[.．]", m[0])) + 1
     return 0
 
 
@@ -265,14 +268,34 @@ def chunk_documents(
     )
 
 
+# A whole line in bold, with a number or without, and the ends of a sentence.
+BOLD_LINE = r"\*\*\s*((?:[0-9]+|[一二三四五六七八九十]+|第.{1,4}[章条部分])[．.、：:\s])?([^*\n]{1,40})\*\*\s*"
+SENTENCE_END = "。；，,；"
+
+
 def promote_bold(text: Column) -> Column:
-    """Whole bold lines of 2 to 40 characters that end no sentence become headings of level 2."""
-    return F.regexp_replace(text, r"(?md)^\*\*([^*\n]{1,39}[^*\n。；，,；])\*\*$", "## $1")
+    """Whole bold lines whose text without its number has 2 to 40 characters and ends no sentence become
+    headings of level 2."""
+
+    def line(x: Column) -> Column:
+        number, body = trimmed(F.regexp_extract(x, f"^{BOLD_LINE}$", 1)), trimmed(F.regexp_extract(x, f"^{BOLD_LINE}$", 2))
+        heading = x.rlike(f"^{BOLD_LINE}$") & (F.length(body) >= 2) & ~body.rlike(f"[{SENTENCE_END}]$")
+        return F.when(heading, F.concat(F.lit("## "), number, body)).otherwise(x)
+
+    return F.array_join(F.transform(F.split(text, "\n", -1), line), "\n")
 
 
 def tidy_pdf(text: Column) -> Column:
-    """Without the blanks between Chinese characters."""
-    return F.regexp_replace(text, r"([\x{4E00}-\x{9FFF}])[ \t]+(?=[\x{4E00}-\x{9FFF}])", "$1")
+    """Without the spaces between Chinese characters."""
+    return F.regexp_replace(text, "(?<=[一-龥]) +(?=[一-龥])", "")
+
+
+def broken_layout(text: Column) -> Column:
+    """Do more than a quarter of more than ten lines that aren't blank have three characters at most,
+    marks aside?"""
+    lines = F.filter(F.split(text, "\n", -1), lambda x: trimmed(x) != "")
+    short = F.filter(lines, lambda x: F.length(F.regexp_replace(x, r"[#|*\-\s\x{3000}]", "")) <= 3)
+    return (F.size(lines) > 10) & (F.size(short) > 0.25 * F.size(lines))
 
 
 def hard_windows(length: Column, size: int = TARGET, step: int = HARD_STEP) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -50,6 +50,52 @@ def cosine_top_k(
     another length or with null entries take no part, as rows or as queries; ids may be any long.
     Every batch of rows keeps only its own k best of each query before anything is shuffled.
     """
+
+    def best(q_ids: np.ndarray, row_ids: np.ndarray, s: np.ndarray) -> list[np.ndarray]:
+        if s.shape[1] > k:  # all that tie with the k-th best stay
+            least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+            keep = s >= np.maximum(least, min_similarity)[:, None]
+        else:
+            keep = s >= min_similarity
+        x, y = np.nonzero(keep)
+        return [q_ids[x], row_ids[y], s[x, y]]
+
+    found = _products(vectors, queries, id_col, query_col, vector_col, dim, best)
+    if not found:
+        return queries.sparkSession.createDataFrame([], f"{query_col} long, {id_col} long, similarity double, rank int")
+    scored = reduce(DataFrame.unionByName, found)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "id"))
+    top = scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return top.select(F.col("q").alias(query_col), F.col("id").alias(id_col), "similarity", "rank")
+
+
+def count_above(
+    vectors: DataFrame,
+    queries: DataFrame,
+    min_similarity: float,
+    id_col: str = "id",
+    query_col: str = "query_id",
+    vector_col: str = "embedding",
+    dim: int = 64,
+) -> DataFrame:
+    """(query_col, above): how many rows are at least so similar to each query that has any; counts
+    of a batch, not its hits, are shuffled. Vectors and rounding as in cosine_top_k()."""
+
+    def count(q_ids: np.ndarray, row_ids: np.ndarray, s: np.ndarray) -> list[np.ndarray]:
+        n = (s >= min_similarity).sum(axis=1)
+        some = np.flatnonzero(n)
+        return [q_ids[some], n[some].astype(np.int64), np.zeros(len(some))]
+
+    found = _products(vectors, queries, id_col, query_col, vector_col, dim, count)
+    if not found:
+        return queries.sparkSession.createDataFrame([], f"{query_col} long, above long")
+    return reduce(DataFrame.unionByName, found).groupBy(F.col("q").alias(query_col)).agg(F.sum("id").alias("above"))
+
+
+def _products(
+    vectors: DataFrame, queries: DataFrame, id_col: str, query_col: str, vector_col: str, dim: int, take: Callable[..., list[np.ndarray]]
+) -> list[DataFrame]:
+    """What take(query ids, row ids, similarities) makes of every stripe of queries and batch of rows, as (q, id, similarity)."""
     rows = vectors.where(usable(vector_col, dim)).select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")
     )
@@ -74,25 +120,12 @@ def cosine_top_k(
                     continue
                 row_ids = batch.column(0).to_numpy()
                 unit = _unit(_matrix(batch.column(1), dim))
-                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for a in range(0, len(q_ids), STRIPE):
-                    s = np.round(q_unit[a : a + STRIPE] @ unit.T, 6)
-                    if s.shape[1] > k:  # all that tie with the k-th best stay
-                        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-                        keep = s >= np.maximum(least, min_similarity)[:, None]
-                    else:
-                        keep = s >= min_similarity
-                    x, y = np.nonzero(keep)
-                    out.append((q_ids[a + x], row_ids[y], s[x, y]))
+                out = [
+                    take(q_ids[a : a + STRIPE], row_ids, np.round(q_unit[a : a + STRIPE] @ unit.T, 6))
+                    for a in range(0, len(q_ids), STRIPE)
+                ]
                 cols = [np.concatenate(c) for c in zip(*out)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2])], names=["q", "id", "similarity"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["q", "id", "similarity"])
 
         found.append(rows.mapInArrow(run, "q long, id long, similarity double"))
-    if not found:
-        return queries.sparkSession.createDataFrame([], f"{query_col} long, {id_col} long, similarity double, rank int")
-    scored = reduce(DataFrame.unionByName, found)
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "id"))
-    top = scored.withColumn("rank", rank).where(F.col("rank") <= k)
-    return top.select(F.col("q").alias(query_col), F.col("id").alias(id_col), "similarity", "rank")
+    return found

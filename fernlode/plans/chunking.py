@@ -15,21 +15,40 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode("lines").alias("line_no", "line"))
 
 
+# The rules of numbered lines, written out for SQL, which has no lookahead: the sign after a number is part of the match.
+_SQL_UNITS = "[倍折元年月日岁斤米升克℃°%版本]"
+_SQL_RULES = (
+    ("^第[一二三四五六七八九十百千零两0-9]+[章节篇]", "", "2"),
+    ("^[一二三四五六七八九十百千零两]+、", "", "3"),
+    ("^第[一二三四五六七八九十百千零两0-9]+条", "", "4"),
+    ("^[（(][一二三四五六七八九十百千零两]+[)）]", "", "5"),
+    ("^[0-9]{1,3}([.．][0-9]{1,3})+", "([^.．0-9]|$)", "len(string_split_regex(regexp_extract({x}, '^[0-9.．]+'), '[.．]')) + 1"),
+    ("^[0-9]+[.．、]", "([^0-9]|$)", "6"),
+    ("^[（(][0-9]+[)）]", "", "7"),
+    ("^[①-⑳]", "", "8"),
+)
+_SQL_WHITE = r"[\s\x{00A0}\x{2000}-\x{200A}\x{202F}\x{3000}\x{FEFF}]+"
+
+
+def _white(x: str) -> str:
+    return f"regexp_replace({x}, '^{_SQL_WHITE}|{_SQL_WHITE}$', '', 'g')"
+
+
 def _clause_sql(x: str) -> str:
-    cases = " ".join(
-        f"WHEN regexp_matches({x}, '{p}') THEN " + (str(n) if n else f"len(string_split(regexp_extract({x}, '{p}'), '.')) + 1")
-        for p, n in chunking.CLAUSES
-    )
-    return f"CASE WHEN regexp_matches({x}, '{chunking._QUANTITY}') THEN NULL {cases} END"
+    cases = " ".join(f"WHEN regexp_matches({x}, '{p}{end}') THEN CASE WHEN NOT regexp_matches({x}, '{p}{_SQL_UNITS}') THEN {level.format(x=x)} END" for p, end, level in _SQL_RULES)
+    return f"CASE {cases} END"
 
 
 _SQL_LINES = "ls AS (SELECT doc_id, unnest(string_split(normalized_text, chr(10))) AS line, generate_subscripts(string_split(normalized_text, chr(10)), 1) - 1 AS line_no FROM documents)"
-_SQL_LEVEL = f"""CASE WHEN regexp_matches(line, '^#{{1,6}}\\s') THEN length(regexp_extract(line, '^(#{{1,6}})\\s', 1))
-  WHEN regexp_extract(line, '^\\*\\*(.+)\\*\\*$', 1) != '' AND ({_clause_sql("trim(regexp_extract(line, '^[*][*](.+)[*][*]$', 1))")}) IS NOT NULL THEN 2
-  ELSE {_clause_sql("trim(line)")} END"""
+_SQL_BOLD = _white("regexp_extract(bare, '^\\*\\*([^*]+)\\*\\*\\s*$', 1)")
+_SQL_LEVEL = f"""CASE WHEN regexp_matches(bare, '^#{{1,6}}\\s+\\S') THEN length(regexp_extract(bare, '^(#{{1,6}})\\s', 1))
+  WHEN {" OR ".join(f"regexp_matches(bold, '{p}{end}')" for p, end, _ in _SQL_RULES)} THEN 2 ELSE {_clause_sql("bare")} END"""
 
 
-@query(f"WITH {_SQL_LINES} SELECT doc_id, {_SQL_LEVEL} AS level, count(*) AS n FROM ls GROUP BY 1, 2")
+@query(
+    f"""WITH {_SQL_LINES}, b AS (SELECT doc_id, {_white('line')} AS bare FROM ls), c AS (SELECT *, {_SQL_BOLD} AS bold FROM b)
+SELECT doc_id, {_SQL_LEVEL} AS level, count(*) AS n FROM c GROUP BY 1, 2"""
+)
 def line_classify(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d).groupBy("doc_id", chunking.line_level(F.col("line")).alias("level")).agg(F.count("*").alias("n"))
 
@@ -96,28 +115,30 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_documents(table(spark, d, "documents").where("status = 'done'"))
 
 
+_SQL_BOLD_LINE = r"^\*\*\s*(([0-9]+|[一二三四五六七八九十]+|第.{1,4}[章条部分])[．.、：:\s])?([^*\n]{1,40})\*\*\s*$"
+
+
 @query(
-    r"""SELECT doc_id, len(regexp_extract_all(text, '(?m)^\*\*[^*\n]{1,39}[^*\n。；，,；]\*\*$')) AS bold,
-  length(regexp_replace(text, '(?m)^\*\*([^*\n]{1,39}[^*\n。；，,；])\*\*$', '## \1', 'g')) AS size FROM documents WHERE text IS NOT NULL"""
+    f"""WITH ls AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, x, {_white(f"regexp_extract(x, '{_SQL_BOLD_LINE}', 1)")} AS number, {_white(f"regexp_extract(x, '{_SQL_BOLD_LINE}', 3)")} AS body FROM ls)
+SELECT doc_id, count(*) FILTER (length(body) >= 2 AND NOT regexp_matches(body, '[。；，,；]$')) AS bold,
+  (sum(CASE WHEN length(body) >= 2 AND NOT regexp_matches(body, '[。；，,；]$') THEN 3 + length(number) + length(body) ELSE length(x) END) + count(*) - 1)::INT AS size FROM p GROUP BY doc_id"""
 )
 def promote_bold_headings(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text is not null")
-    found = F.regexp_extract_all("text", F.lit(r"(?md)^(\*\*[^*\n]{1,39}[^*\n。；，,；]\*\*)$"), F.lit(1))
-    return docs.select("doc_id", F.size(found).cast("long").alias("bold"), F.length(chunking.promote_bold(F.col("text"))).alias("size"))
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text", chunking.promote_bold(F.col("text")).alias("new"))
+    changed = F.filter(F.arrays_zip(F.split("text", "\n", -1).alias("a"), F.split("new", "\n", -1).alias("b")), lambda x: x["a"] != x["b"])
+    return docs.select("doc_id", F.size(changed).cast("long").alias("bold"), F.length("new").alias("size"))
 
 
 @query(
-    r"""SELECT doc_id, length(regexp_replace(regexp_replace(text, '([\x{4E00}-\x{9FFF}])[ \t]+([\x{4E00}-\x{9FFF}])', '\1\2', 'g'),
-    '([\x{4E00}-\x{9FFF}])[ \t]+([\x{4E00}-\x{9FFF}])', '\1\2', 'g')) AS size,
-  len(lines) > 10 AND len(list_filter(lines, lambda x: length(trim(x)) <= 3)) > 0.25 * len(lines) AS sparse
-  FROM (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) != '') AS lines FROM documents WHERE fmt = 'pdf' AND text IS NOT NULL)"""
+    r"""SELECT doc_id, length(regexp_replace(regexp_replace(text, '([一-龥]) +([一-龥])', '\1\2', 'g'), '([一-龥]) +([一-龥])', '\1\2', 'g')) AS size,
+  len(lines) > 10 AND len(list_filter(lines, lambda x: length(regexp_replace(x, '[#|*\-\s\x{3000}]', '', 'g')) <= 3)) > 0.25 * len(lines) AS sparse
+  FROM (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: """ + _white("x") + """ != '') AS lines FROM documents WHERE fmt = 'pdf' AND text IS NOT NULL)"""
 )
 def pdf_text_cleanup(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("fmt = 'pdf' and text is not null")
-    lines = F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")
-    short = F.filter("lines", lambda x: F.length(F.trim(x)) <= 3)
-    rows = docs.select("doc_id", F.length(chunking.tidy_pdf(F.col("text"))).alias("size"), lines.alias("lines"))
-    return rows.select("doc_id", "size", ((F.size("lines") > 10) & (F.size(short) > 0.25 * F.size("lines"))).alias("sparse"))
+    tidy = chunking.tidy_pdf(F.col("text"))
+    return docs.select("doc_id", F.length(tidy).alias("size"), chunking.broken_layout(tidy).alias("sparse"))
 
 
 @query(

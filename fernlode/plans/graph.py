@@ -250,16 +250,24 @@ def local_graph_nodes(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """WITH q AS (SELECT id AS query_id, lower(name) AS t FROM entities WHERE id % 100 = 0)
 SELECT query_id, e.id, e.name, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN lower(e.name) = t THEN 0 ELSE 1 END, e.name, e.id) AS rank
-FROM q JOIN entities e ON contains(lower(e.name), t) OR contains(lower(coalesce(e.aliases_json, '')), t) QUALIFY rank <= 20"""
+FROM q JOIN entities e ON lower(e.name) LIKE '%' || t || '%' OR lower(coalesce(e.aliases_json, '')) LIKE '%' || t || '%' QUALIFY rank <= 20"""
 )
 def entity_search(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates whose name or aliases contain the text of a query, exact names first."""
+    """Candidates whose name or aliases contain the text of a query, exact names first.
+
+    % and _ in a query stand for any characters and any one. Rows are found by the longest piece
+    between them, then compared as a whole; a query of such signs alone finds nothing.
+    """
     from fernlode.operators import ranking
 
-    entities = table(spark, d, "entities").select("id", "name", F.concat_ws("\n", F.lower("name"), F.lower("aliases_json")).alias("text"))
-    asked = table(spark, d, "entities").where("id % 100 = 0").select(F.col("id").alias("query_id"), F.lower("name").alias("word"))
-    hits = ranking.term_counts(entities, asked.where("length(word) > 0"), "id", "text").join(asked, "word").join(entities.select("id", "name"), "id")
-    exact = F.when(F.lower("name") == F.col("word"), 0).otherwise(1)
+    entities = table(spark, d, "entities").select("id", "name", F.lower("name").alias("n"), F.lower("aliases_json").alias("a"))
+    asked = table(spark, d, "entities").where("id % 100 = 0").select(F.col("id").alias("query_id"), F.lower("name").alias("asked"))
+    asked = asked.withColumn("word", F.expr("array_max(transform(split(asked, '[%_]+'), x -> struct(length(x) as n, x as x))).x")).where("length(word) > 0")
+    found = ranking.term_counts(entities.withColumn("text", F.concat_ws("\n", "n", "a")), asked, "id", "text").select("id", "word")
+    hits = found.join(asked, "word").join(entities, "id")
+    pattern = F.concat(F.lit("%"), "asked", F.lit("%"))
+    hits = hits.where(F.like("n", pattern, F.lit("\x01")) | F.like("a", pattern, F.lit("\x01")))
+    exact = F.when(F.col("n") == F.col("asked"), 0).otherwise(1)
     return ranking.ranked(hits, "query_id", exact, "name", "id", limit=20).select("query_id", "id", "name", "rank")
 
 

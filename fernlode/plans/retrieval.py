@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 
 from fernlode.operators import ranking, vectors
 from fernlode.plans.registry import query
-from fernlode.sources.tables import search_settings, setting, table
-
-#: Entities that a query may hit, least similarity of such a hit, and chunks that the graph appends.
-ENTITY_HITS, ENTITY_SIMILARITY, APPENDED = 5, 0.55, 5
+from fernlode.session import materialize
+from fernlode.sources.tables import features, search_settings, setting, table
 
 # Pieces of the SQL twins. A usable vector has 64 entries, not all zero.
 _K = "(SELECT CAST(value->>'topK' AS INT) FROM config WHERE key = 'search')"
@@ -93,15 +91,25 @@ def _keyword_route(spark: SparkSession, d: str) -> DataFrame:
     return ranking.ranked(scored.join(done, "chunk_id"), "query_id", "score", "chunk_id", limit=3 * search_settings(spark, d)["topK"])
 
 
-def _main(spark: SparkSession, d: str) -> DataFrame:
-    routes = {"vector": _vector_route(spark, d), "bm25": _keyword_route(spark, d)}
-    return ranking.fuse(routes, "query_id", "chunk_id", limit=search_settings(spark, d)["topK"])
+def _routes(spark: SparkSession, d: str, switches: dict[str, bool]) -> dict[str, DataFrame]:
+    """The ranked routes, each computed once: the vector route, made diverse with mmr, and keywords with bm25."""
+    near = _vector_route(spark, d)
+    if switches["mmr"]:
+        near = ranking.diversify(near, search_settings(spark, d)["topK"], "query_id", "document_id")
+    routes = {"vector": materialize(near, "vector")}
+    if switches["bm25"]:
+        routes["bm25"] = materialize(_keyword_route(spark, d), "keyword")
+    return routes
+
+
+def _switches(spark: SparkSession, d: str, **changed: bool) -> dict[str, bool]:
+    return features(setting(spark, d, "features")) | changed
 
 
 def _entity_hits(spark: SparkSession, d: str) -> DataFrame:
     entities = table(spark, d, "entities").where("graph_role = 'keep'").select(F.col("id").alias("entity_id"), "embedding")
-    top = vectors.cosine_top_k(entities, _asked(spark, d), ENTITY_HITS, "entity_id")
-    return top.where(F.col("similarity") >= ENTITY_SIMILARITY)
+    top = vectors.cosine_top_k(entities, _asked(spark, d), ranking.ENTITY_HITS, "entity_id")
+    return top.where(F.col("similarity") >= ranking.ENTITY_SIMILARITY)
 
 
 @query(
@@ -192,7 +200,9 @@ def bm25_strict_syntax(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_SQL_DONE}, {_SQL_ASKED}, {_SQL_VECTOR}, {_SQL_WORDS}, {_SQL_BM25}, {_SQL_FUSED} SELECT query_id, chunk_id, score, sources, rank FROM main")
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
-    return _main(spark, d).select("query_id", "chunk_id", "score", "sources", "rank")
+    routes = _routes(spark, d, _switches(spark, d))
+    out = ranking.fuse(routes, "query_id", "chunk_id", limit=search_settings(spark, d)["topK"])
+    return out.select("query_id", "chunk_id", "score", "sources", "rank")
 
 
 @query(f"WITH {_SQL_ASKED}, {_SQL_GRAPH} SELECT query_id, chunk_id, n AS entity_hits FROM graph_all")
@@ -210,11 +220,13 @@ hits AS (SELECT m.query_id, 0 AS section, m.rank, m.chunk_id, CASE WHEN contains
   UNION ALL SELECT query_id, 1, rank, chunk_id, 'graph', 'graph', NULL FROM tail)"""
 
 
-def _hybrid(spark: SparkSession, d: str) -> DataFrame:
-    features = setting(spark, d, "features")
-    main = _main(spark, d)
-    similar = _vector_route(spark, d).select("query_id", "chunk_id", "similarity")
-    out = main.join(similar, ["query_id", "chunk_id"], "left").select(
+def _hybrid(spark: SparkSession, d: str, **changed: bool) -> DataFrame:
+    switches = _switches(spark, d, **changed)
+    routes = _routes(spark, d, switches)
+    main = ranking.fuse(routes, "query_id", "chunk_id", limit=search_settings(spark, d)["topK"])
+    similar = routes["vector"].select("query_id", "chunk_id", "similarity")
+    main = materialize(main.join(similar, ["query_id", "chunk_id"], "left"), "main")
+    out = main.select(
         "query_id",
         F.lit(0).alias("section"),
         "rank",
@@ -223,13 +235,13 @@ def _hybrid(spark: SparkSession, d: str) -> DataFrame:
         "sources",
         "similarity",
     )
-    if not features.get("graph"):
+    if not switches["graph"]:
         return out
     hits = _entity_hits(spark, d).select("query_id", "entity_id")
     counts = ranking.graph_route(hits, table(spark, d, "relations"), table(spark, d, "chunk_entities"), "query_id")
     done = _done_chunks(spark, d).select("chunk_id")
     fresh = counts.join(done, "chunk_id").join(main.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-    tail = ranking.ranked(fresh, "query_id", F.desc("n"), "chunk_id", limit=APPENDED)
+    tail = ranking.ranked(fresh, "query_id", F.desc("n"), "chunk_id", limit=ranking.APPENDED)
     return out.unionByName(
         tail.select(
             "query_id",
@@ -248,6 +260,47 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return _hybrid(spark, d)
 
 
+_SQL_MMR = f"""head AS (SELECT query_id, max(n) AS most FROM (SELECT query_id, document_id, count(*) AS n FROM first_route WHERE rank <= {_K} GROUP BY 1, 2) GROUP BY 1),
+adj AS (SELECT v.*, row_number() OVER (PARTITION BY query_id, document_id ORDER BY rank) AS nth, count(*) OVER (PARTITION BY query_id) AS hits, most
+  FROM first_route v JOIN head USING (query_id)),
+val AS (SELECT *, CASE WHEN hits <= {_K} OR most > 0.8 * {_K} THEN -rank::DOUBLE ELSE round(similarity / (1 + 0.15 * greatest(nth - 2, 0)), 9) END AS adjusted FROM adj),
+vector_route AS (SELECT query_id, chunk_id, document_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY adjusted DESC, rank) AS rank FROM val QUALIFY rank <= {_K})"""
+_SQL_HYBRID_MMR = _SQL_HYBRID.replace(_SQL_VECTOR, _SQL_VECTOR.replace("vector_route AS", "first_route AS") + ", " + _SQL_MMR)
+
+
+@query(f"WITH {_SQL_HYBRID_MMR} SELECT query_id, section, rank, chunk_id, source, sources, similarity FROM hits")
+def hybrid_search_diverse(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid search of a library that has the diversity rerank switched on."""
+    return _hybrid(spark, d, mmr=True, bm25=True, graph=True)
+
+
+@query(f"WITH {_SQL_DONE}, {_SQL_ASKED}, {_SQL_VECTOR} SELECT query_id, 0 AS section, rank, chunk_id, 'vector' AS source, 'vector' AS sources, similarity FROM vector_route WHERE rank <= {_K}")
+def hybrid_search_plain(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid search of a library with all switches off: the vector route alone."""
+    return _hybrid(spark, d, mmr=False, bm25=False, graph=False)
+
+
+_SQL_SYNTAX = """firsts AS (SELECT query_id, min(word) AS a, max(word) AS z FROM words0 GROUP BY query_id),
+terms AS (SELECT query_id, 0 AS alt, a AS word, false AS forbidden FROM firsts UNION ALL SELECT query_id, 0, 'archive', true FROM firsts
+  UNION ALL SELECT query_id, 1, z, false FROM firsts UNION ALL SELECT query_id, 1, 'ing', false FROM firsts WHERE z != 'ing'),
+words AS (SELECT DISTINCT query_id, word FROM terms), lowered AS"""
+_SQL_FITS = """needs AS (SELECT query_id, alt, count(*) FILTER (NOT forbidden) AS need FROM terms GROUP BY ALL),
+tparts AS (SELECT query_id, chunk_id, alt, forbidden, (CASE WHEN ln((n_rows - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_rows - n + 0.5) / (n + 0.5)) END)
+  * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * d / avg_tokens)) AS part FROM terms JOIN tf USING (word) JOIN df USING (word), stats),
+fit AS (SELECT query_id, chunk_id, alt, sum(part) FILTER (NOT forbidden) AS score FROM tparts JOIN needs USING (query_id, alt) GROUP BY ALL
+  HAVING NOT bool_or(forbidden) AND count(*) FILTER (NOT forbidden) = max(need))"""
+
+
+@query(f"WITH {_SQL_DONE}, {_SQL_ASKED}, {_SQL_WORDS.replace('words AS', 'words0 AS', 1).replace('lowered AS', _SQL_SYNTAX)}, {_SQL_FITS} SELECT query_id, chunk_id, round(-sum(score), 6) AS score FROM fit GROUP BY 1, 2")
+def bm25_operators(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword search with OR, AND, NOT and *: the first of each query's words without 'archive', or the last one and 'ing'."""
+    words = ranking.query_words(_asked(spark, d), "query_id", "query_text")
+    ends = words.groupBy("query_id").agg(F.min("word").alias("a"), F.max("word").alias("z"))
+    text = F.concat("a", F.lit("* NOT archive OR "), "z", F.lit(" AND ing"))
+    chunks = table(spark, d, "chunks").select(F.col("id").alias("chunk_id"), "text")
+    return ranking.bm25(chunks, ends.select("query_id", text.alias("query")), "chunk_id", "text", "query_id", "query")
+
+
 @query(
     f"""WITH {_SQL_HYBRID}, top AS (SELECT query_id, arg_min(similarity, rank) FILTER (similarity IS NOT NULL AND section = 0) AS best, count(*) AS n
   FROM hits GROUP BY query_id)
@@ -291,5 +344,4 @@ WHERE s >= 0.35 GROUP BY query_id"""
 )
 def vector_threshold(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "vec_index").join(_done_chunks(spark, d).select("chunk_id"), "chunk_id")
-    near = vectors.cosine_top_k(rows, _asked(spark, d), 1 << 30, "chunk_id", min_similarity=0.35)
-    return near.groupBy("query_id").agg(F.count("*").alias("above"))
+    return vectors.count_above(rows, _asked(spark, d), 0.35, "chunk_id")

@@ -6,8 +6,8 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Defaults of a library's search settings, and the ranges outside of which they apply.
-SEARCH_DEFAULTS = {"topK": 15, "similarityThreshold": 0.3}
+#: Defaults of a library's search settings.
+TOP_K, DISTANCE = 15, 0.7
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,12 +25,30 @@ def setting(spark: SparkSession, folder: str, key: str) -> dict:
     return value if isinstance(value, dict) else {}
 
 
+def distance_threshold(config: dict, distance: float | None = None, similarity: float | None = None) -> float:
+    """Largest cosine distance of a hit: as asked for, as distance or similarity, else as the
+    settings say, distance before similarity, else DISTANCE."""
+    given = (distance, similarity, config.get("distanceThreshold"), config.get("similarityThreshold"))
+    for n, value in enumerate(given):
+        if value is not None:
+            return 1 - float(value) if n % 2 else float(value)
+    return DISTANCE
+
+
+def top_k(config: dict, asked: int | None = None) -> int:
+    """Number of hits, asked for or set; one that is no whole number between 1 and 1000 is refused."""
+    k = config.get("topK", TOP_K) if asked is None else asked
+    if isinstance(k, bool) or not isinstance(k, (int, float)) or k != int(k) or not 1 <= k <= 1000:
+        raise ValueError("topK must be an integer between 1 and 1000")
+    return int(k)
+
+
 def search_settings(spark: SparkSession, folder: str) -> dict:
-    """topK and similarityThreshold; a value out of range falls back to its default."""
+    """topK and similarityThreshold of a library."""
     found = setting(spark, folder, "search")
-    out = dict(SEARCH_DEFAULTS)
-    if isinstance(found.get("topK"), int) and 1 <= found["topK"] <= 1000:
-        out["topK"] = found["topK"]
-    if isinstance(found.get("similarityThreshold"), (int, float)) and -1 <= found["similarityThreshold"] <= 1:
-        out["similarityThreshold"] = float(found["similarityThreshold"])
-    return out
+    return {"topK": top_k(found), "similarityThreshold": round(1 - distance_threshold(found), 9)}
+
+
+def features(found: dict) -> dict[str, bool]:
+    """Which of graph, bm25 and mmr are on, under either of their names."""
+    return {f: bool(found.get(f, found.get(f"{f}Enabled", False))) for f in ("graph", "bm25", "mmr")}

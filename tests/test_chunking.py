@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from fernlode.operators import chunking
 from pyspark.sql import functions as F
 
@@ -63,3 +65,34 @@ def test_line_level_equals_the_function(spark):
     df = spark.createDataFrame([(x,) for x in lines], "line string")
     got = [r[0] for r in df.select(chunking.line_level(F.col("line"))).collect()]
     assert got == [(f := chunking.level_of(x)) and f[0] for x in lines]
+
+
+@pytest.mark.parametrize(
+    ("line", "level"),
+    [("第一章 总则", 2), ("第千章", 2), ("一、总则", 3), ("第3条 范围", 4), ("（一）甲", 5), ("1.2 甲", 3), ("5.5.1.1 甲", 5), ("1．2 甲", 3), ("2024.1.1 x", None),
+     ("1.5倍杠杆", None), ("2.0版", None), ("5.1 年后复查", 3), ("3. 甲", 6), ("3.14159265", None), ("（2）乙", 7), ("③丙", 8), ("第3条元", None), ("  ## 标题  ", 2), ("#标题", None),
+     ("**第一章 总则**", 2), ("**1.5倍**", 2), ("**总则**", None), ("plain", None), ("", None), (None, None)],
+)
+def test_levels(spark, line, level):
+    df = spark.createDataFrame([(line,)], "line string")
+    assert df.select(chunking.line_level(F.col("line"))).first()[0] == level
+    if line is not None:
+        found = chunking.level_of(line)
+        assert (found[0] if found else None) == level
+
+
+def test_a_quantity_is_no_clause_and_a_heading_no_preface():
+    text = "\n".join(["前言段落，介绍文档背景信息，长度凑够三十个字符以上以便成块。", "", "# 第一章 总则", "", "1.5倍杠杆属于风险提示，不是条款编号，这句话也需要足够长度。", "", "## 第一节 范围", "", "本节内容正文，需要超过三十个字符才会被保留下来，继续补充一点内容。"])
+    got = chunking.chunk_text(text)
+    assert "第一章" not in got[0][1] and not any(c[2].split(" > ")[-1] == "1.5" for c in got)
+
+
+def test_bold_lines_and_pdf_text(spark):
+    lines = ["**一、 总则**", "**范围**", "** 3. 附录 **  ", "**是。**", "**x**", "a **b** c", "**第二章 甲乙**"]
+    df = spark.createDataFrame([("\n".join(lines),), (None,), ("",)], "t string")
+    got = [r[0] for r in df.select(chunking.promote_bold(F.col("t"))).collect()]
+    assert got == ["## 一、总则\n## 范围\n## 3.附录\n**是。**\n**x**\na **b** c\n## 第二章甲乙", None, ""]
+    rows = [("以保 障\t和 a 中 文",), ("\n".join(["# 创 |"] * 4 + ["long enough line"] * 8),), ("创\n" * 10,)]
+    df = spark.createDataFrame(rows, "t string")
+    assert df.select(chunking.tidy_pdf(F.col("t"))).first()[0] == "以保障\t和 a 中文"
+    assert [r[0] for r in df.select(chunking.broken_layout(F.col("t"))).collect()] == [False, True, False]

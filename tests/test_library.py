@@ -2,9 +2,12 @@ import os
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
+from fernlode import session
+from fernlode.functions import text
 from fernlode.library import Library
-from fernlode.sources import files
+from fernlode.sources import files, tables
 from fernlode.streaming.ingest import ingest_stream, status_counts_stream
 
 
@@ -41,17 +44,34 @@ def test_lifecycle(spark, folder, tmp_path):
     assert lib.ingest(f"file://{folder}")["done"] == 1
     texts = [r.text for r in lib.table("chunks").collect()]
     assert len(texts) == 2 and any("valve log" in t for t in texts)
+    assert [r.sources for r in lib.search("valve log", top_k=2, similarity=-1).collect()] == ["vector"] * 2
+    lib.update_settings(bm25=True, mmr=True, graph=True)
     hit = lib.search("valve log", top_k=2).collect()
     assert "valve log" in hit[0].text and "bm25" in hit[0].sources
-    with pytest.raises(ValueError):
-        lib.search(" ")
+    for wrong in (lambda: lib.search(" "), lambda: lib.search("x", top_k=0), lambda: lib.search("x", top_k=1.5)):
+        with pytest.raises(ValueError):
+            wrong()
     lib.build_graph()
     assert lib.graph_stats()["entities"] >= 1
+    entity = lib.table("entities").first()
+    nodes, edges = lib.local_view(entity.id)
+    assert edges.count() <= 160 and nodes.count() <= 81
+    assert len(entity.embedding) == 64 and lib.table("entities").select("id").distinct().count() == lib.table("entities").count()
+    cleaned = lib.clean_entities()
+    assert cleaned["total"] == lib.graph_stats()["entities"] + cleaned["dropped"]
+    assert lib.resume() == 0
+    lib.write(documents=lib.table("documents").withColumn("graph_status", F.lit("processing")))
+    assert lib.resume() == 4 and lib.resume() == 0
     path = next(r.path for r in lib.table("documents").collect() if r.name == "a.md")
     assert lib.delete_document(path) and not lib.delete_document(path)
     assert lib.table("chunks").count() == 1 and lib.graph_stats()["entities"] == 0
-    assert lib.update_settings(topK=20, chunkTargetLength=5)["chunkTargetLength"] == 400
-    assert not lib._state()["requiresRebuild"] and lib.update_settings(chunkTargetLength=300) and lib._state()["requiresRebuild"]
+    for wrong in ({"topK": 20, "chunkTargetLength": 5}, {"bm25": 1}, {"topK": True}, {"color": 1}):
+        with pytest.raises(ValueError):
+            lib.update_settings(**wrong)
+    assert lib.settings()["topK"] == 15 and not lib._state()["requiresRebuild"]
+    assert lib.update_settings(chunkTargetLength=300) and lib._state()["requiresRebuild"]
+    assert lib.rebuild() == 1 == lib.table("vec_index").count() and not lib._state()["requiresRebuild"]
+    assert len(os.listdir(tmp_path / "kb" / "works" / "chunks")) <= 2  # older versions are gone
     assert lib.list_documents(1, 2).count() == 2
     lib.delete()
     assert not lib.exists()
@@ -76,6 +96,37 @@ def test_streaming_counts(spark, tmp_path):
     assert [(r.status, r.n) for r in spark.table("counts").collect()] == [("ok", 2)]
 
 
+def test_settings_of_a_search():
+    assert tables.distance_threshold({}) == 0.7 and tables.distance_threshold({"similarityThreshold": 0.4}) == 0.6
+    assert tables.distance_threshold({"similarityThreshold": 0.4, "distanceThreshold": 0.2}) == 0.2
+    assert tables.distance_threshold({"distanceThreshold": 0.2}, similarity=0.9) == pytest.approx(0.1)
+    assert tables.distance_threshold({"distanceThreshold": 0.2}, distance=0.5, similarity=0.9) == 0.5
+    assert tables.top_k({}) == 15 and tables.top_k({"topK": 7}) == 7 and tables.top_k({"topK": 7}, 3) == 3
+    assert tables.features({"mmrEnabled": True, "bm25": False}) == {"graph": False, "bm25": False, "mmr": True}
+
+
+def test_names_paths_and_services(spark):
+    rows = [("notes/id_ed25519",), ("a/my-wallet.txt",), ("x/passwd",), ("库/密钥.md",), ("口令.txt",), ("access_token.md",), ("private_key.txt",), ("u/.kube/config.md",), ("u/.ssh/a.md",), ("keychain.md",), ("a/.env.md",), ("Credentials/a.md",)]
+    df = spark.createDataFrame(rows + [("a/plain.md",), ("secretless/ok.md",)], "p string")
+    assert [r[0] for r in df.select(text.sensitive_path(F.col("p"))).collect()] == [True] * 12 + [False] * 2
+    names = spark.createDataFrame([("ａｂｃ",), ("  works ",), ("库",), ("a\x07b",), (" ",), (None,)], "n string")
+    got = [r[0] for r in names.select(text.library_id(F.col("n"))).collect()]
+    assert got[0] == "abc" and got[1] == "works" and got[2].startswith("kb-") and got[3:] == [None] * 3
+    hosts = ["", None, "LOCALHOST", "a.localhost", "10.1.2.3", "172.20.0.1", "172.32.0.1", "[::1]", "0.0.0.0", "10.example.com", "a.example"]
+    df = spark.createDataFrame([(h,) for h in hosts], "h string")
+    assert [r[0] for r in df.select(text.private_host(F.col("h"))).collect()] == [True, True, True, True, True, True, False, True, True, False, False]
+    assert text.fingerprint({}, "a", "m") == "empty" and text.fingerprint({"model": "m", "provider": "a", "dimensions": 8}, "a", "m", 8) is None
+    assert text.fingerprint({"model": "m", "provider": "a", "dimensions": 8}, "a", "m", 9) == "dimensions differ"
+
+
+def test_intermediate_tables_are_removed(spark):
+    df = session.materialize(spark.range(3), "three")
+    folder = df.inputFiles()[0].rsplit("/", 2)[0]
+    assert df.count() == 3 and os.path.exists(folder.removeprefix("file://"))
+    session.release(spark)
+    assert not os.path.exists(folder.removeprefix("file://"))
+
+
 def test_converters(tmp_path):
     w = 'xmlns:w="w"'
     doc = f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Title</w:t></w:r></w:p><w:p><w:r><w:t>Text</w:t></w:r></w:p></w:body></w:document>'
