@@ -88,3 +88,10 @@ def test_unseen_hosts(spark):
         pytest.skip("no test tables")
     found = residue.validate(spark.read.parquet(path))
     assert found["positives"] > 5 and found["precision"] >= 0.9 and found["recall"] >= 0.9
+    apart = residue.validate(spark.read.parquet(path), without=("percent",))  # a kind of slot that training never saw
+    assert apart["total"] > 0 and apart["found"] >= 0.5 * apart["total"]
+
+
+def test_no_residue_to_learn_from(spark):
+    df = spark.createDataFrame([(i, BODY[i % len(BODY)], "a.example") for i in range(20)], "doc_id long, normalized_text string, source string")
+    assert residue.residue_documents(df).count() == 0
