@@ -37,7 +37,7 @@ LISTINGS = (
     "anzeige|ähnliche beiträge|schlagwörter|meistgelesen|neueste kommentare|gesponsert|"
     "相关阅读|热门文章|标签云|排行榜|推广信息|广告|最新评论|猜你喜欢"
 ).split("|")
-# What a page says to its reader about itself, as patterns on folded lines.
+# What a page says to its reader about itself, as patterns on folded lines; see _recurring_talk().
 TALK = re.compile(
     r"^(?:"
     r"(?:print|save|share)\b.{0,40}\|.*|share (?:this|on)\b.*|read more\b.{0,6}|listen to this article\b.*|"
@@ -58,6 +58,9 @@ TALK = re.compile(
 HOMES = frozenset(("home", "startseite", "首页", "start"))
 
 _SEPARATED = re.compile(r"\s+[|›»>/·]\s+|\s{2,}|\s*\|\s*")
+#: Ends of a line's parts, and what is left of a numbered name of the site.
+_CLAUSES = re.compile(r"(?<=[.!?])\s+|[。！？:：\[\]【】/|]+")
+_BRAND = re.compile(r"@[0\-.]*0")
 _DECOR = re.compile(r"^(?:#{1,6}\s+|\*\*|[-*+]\s+|\d+[.)]\s+|>\s+)+|(?:\*\*|[:：])+\s*$")
 _LINK = re.compile(r"^(?:[-*+]\s+)?\[([^\]]*)\]\([^)]*\)$")
 _FINAL = re.compile(r"[.。！？!?…]['\"”’)）\]]*$|\[more\]$")
@@ -110,7 +113,7 @@ def nodes(text: str, host: str) -> list[tuple[int, int, str, list[str]]]:
         bare = _DECOR.sub("", _DECOR.sub("", link[1].lower() if link else low)).strip()
         key = re.sub(r"\d+", "0", bare)
         if len(brand) >= 4:
-            key = key.replace(brand, "@")
+            key = _BRAND.sub("@", key.replace(brand, "@"))
         items: list[str] = []
         if link:
             kind, items = LINKS, [bare]
@@ -136,6 +139,8 @@ def nodes(text: str, host: str) -> list[tuple[int, int, str, list[str]]]:
                 items = parts
             elif len(low) < 24:
                 items = [low]
+        if kind in (TITLE, SENTENCE) and not items:
+            items = [x.strip() for x in _CLAUSES.split(key) if x.strip()]
         out.append((no, kind, key, items))
     return out
 
@@ -255,13 +260,14 @@ def furniture_lines(
         lines.join(template.withColumn("own", F.lit(True)), ["host", "key"], "left")
         .join(hosts_of, "key", "left")
         .join(menus, ["doc_id", "line_no"], "left")
+        .join(_recurring_talk(lines), ["doc_id", "line_no"], "left")
     )
     crumb = F.coalesce(F.try_element_at("leaves", F.lit(1)) == 1, F.lit(False))
     facts = F.struct(
         "line_no",
         "kind",
         "listing",
-        F.col("talk").alias("talk"),
+        F.col("heard").isNotNull().alias("talk"),
         (F.col("own").isNotNull() | F.col("known").isNotNull()).alias("fixed"),
         crumb.alias("crumb"),
         (F.size("leaves") - crumb.cast("int")).alias("n"),
@@ -282,6 +288,19 @@ def furniture_lines(
     return out.withColumnRenamed("doc_id", id_col)
 
 
+def _recurring_talk(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, heard): lines that talk to the reader and stand on other pages as well, of whatever
+    host, as a whole or in all of their parts. Recurrence alone can't tell them from stock sentences of
+    articles, which stand on as many pages; the wording alone doesn't make a line recur."""
+    said = lines.where("talk").select("doc_id", "line_no", "key", "leaves")
+    pages = said.select("doc_id", "key").distinct().groupBy("key").agg(F.count("*").alias("pages")).where("pages > 1").select("key")
+    whole = said.join(pages, "key", "left_semi").select("doc_id", "line_no")
+    parts = said.select("doc_id", "line_no", F.explode(F.array_distinct("leaves")).alias("leaf"), F.size(F.array_distinct("leaves")).alias("n"))
+    known = parts.select("doc_id", "leaf").distinct().groupBy("leaf").agg(F.count("*").alias("pages")).where("pages > 1").select("leaf")
+    pieced = parts.join(known, "leaf", "left_semi").groupBy("doc_id", "line_no").agg(F.count("*").alias("found"), F.max("n").alias("n"))
+    return whole.unionByName(pieced.where("found = n").select("doc_id", "line_no")).distinct().withColumn("heard", F.lit(True))
+
+
 def judge_page(page: list[tuple]) -> list[int]:
     """Furniture among a page's lines (no, kind, listing, talk, fixed, crumb, leaves, menu leaves)."""
     out: set[int] = set()
