@@ -2,8 +2,9 @@
 
 Each row starts as a profile of its spellings. Profiles that share a blocking key are compared, the
 matching ones merge, which unions their spellings and initials, and profiles that grew enter
-blocking again, until no merge follows. A surname with initials alone joins only where a single
-profile fits it.
+blocking again with what their parts combine to, until no merge follows. Profiles whose initials
+conflict don't merge, and one without initials merges only where all that fit it agree. A surname
+with initials alone joins only where a single profile fits it.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ from fernlode.llm import names
 from fernlode.operators.components import connected_components
 from fernlode.session import materialize
 
+#: Spellings of a block, or rows of an entity, that one key of a join holds.
+BLOCK_ROWS = 1000
+#: Spellings that one task makes keys of, about.
+KEY_ROWS = 4000
 #: Rows up to which an alias that is no row's own name is not doubted.
 DOUBTED_ROWS = 4
 
@@ -95,40 +100,44 @@ def resolve(
     def key_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [(f, names.keys(names.parsed(f, lex.value), lex.value)) for f in pdf["form"]]
-            yield pd.DataFrame(
-                [(f, k) for f, ks in found for k in ks], columns=["form", "key"]
-            )
+            yield pd.DataFrame([(f, k, None) for f, ks in found for k in ks], columns=["form", "key", "said"])
+
+    def mark_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [(f, names.parsed(f, lex.value)) for f in pdf["form"]]
+            yield pd.DataFrame([(f, x[0]) for f, n in found if n.kind == "p" for x in set(n.initials)], columns=["form", "mark"])
 
     @F.pandas_udf("int")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         known = lex.value
         return pd.Series([names.compare(names.parsed(x, known), names.parsed(y, known), known) for x, y in zip(a, b)], dtype="int32")
 
-    keyed = materialize(forms.mapInPandas(key_rows, "form string, key string"), "keys")
+    spread = forms.repartition(max(spark.sparkContext.defaultParallelism, n // KEY_ROWS))
+    keyed = materialize(spread.mapInPandas(key_rows, _KEYED), "keys")
+    marks = materialize(spread.mapInPandas(mark_rows, "form string, mark string").select(F.xxhash64("form").alias("node"), "mark"), "marks")
     # spellings of one row are one profile from the start
     own = rows.where("own").select("id", F.col("form").alias("a"))
     tied = own.join(rows.where("not own").select("id", F.col("form").alias("b")), "id").select("a", "b")
     lone = rows.where("not own").join(own, "id", "left_anti").groupBy("id").agg(F.min("form").alias("a"))
     tied = tied.unionByName(rows.join(lone, "id").where("form != a").select("a", F.col("form").alias("b")))
     label = forms.select("form", F.xxhash64("form").alias("node"))
-    edges = tied.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+    tied = materialize(tied.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")), "tied")
+    strong = None
     fresh = keyed
     weak = None
     seen = None
     while True:
-        left = fresh.select("key", F.col("form").alias("a"))
-        # as names.mate()
-        mate = F.when(F.col("key").rlike("[<>]$"), F.translate("key", "<>", "><")).otherwise(F.col("key"))
-        pairs = left.join(keyed.select(mate.alias("key"), F.col("form").alias("b")), "key").where("a != b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = _blocked(fresh, keyed)
         if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        scored = materialize(pairs.withColumn("score", alike("a", "b")), "scored")
-        seen = scored.select("a", "b") if seen is None else seen.unionByName(scored.select("a", "b"))
-        strong = scored.where("score = 2").select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
-        edges = materialize(edges.unionByName(strong), "links")
+            pairs = pairs.join(seen, ["a", "b", "said_a", "said_b"], "left_anti")
+        scored = materialize(pairs.withColumn("score", alike("said_a", "said_b")), "scored")
+        done = scored.select("a", "b", "said_a", "said_b")
+        seen = done if seen is None else seen.unionByName(done)
+        some = scored.where("score = 2").select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+        strong = materialize((some if strong is None else strong.unionByName(some)).distinct(), "strong")
         some = scored.where("score = 1").select("a", "b")
         weak = some if weak is None else weak.unionByName(some)
+        edges = materialize(_agreeing(tied, strong, marks), "links")
         while True:  # initials whose fitting profiles have all become one
             comps = connected_components(edges)
             named = label.join(comps, "node", "left").select("form", F.coalesce("label", "node").alias("label"))
@@ -161,12 +170,69 @@ def resolve(
                 return resolved
             added = doubt.join(agreed, "form")
             ties = added.join(rows, "id").select(F.xxhash64(rows.form).alias("a"), F.xxhash64(added.form).alias("b"))
-            edges = materialize(edges.unionByName(ties), "links")
+            tied = materialize(tied.unionByName(ties), "tied")
             rows = materialize(rows.unionByName(added.select("id", "form", F.lit(False).alias("own"))), "spellings")
             doubt = materialize(doubt.join(agreed, "form", "left_anti"), "doubt")
         keyed = materialize(keyed.unionByName(grown), "keys")
 
 
+_KEYED = "form string, key string, said string"
+
+
+def _blocked(fresh: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(a, b, said_a, said_b), a < b: spellings of a fresh and any profile that share a block, with what
+    they are compared as. Blocks above BLOCK_ROWS are spread by a salt on one side, repeated on the other."""
+    # as names.mate()
+    mate = F.when(F.col("key").rlike("[<>]$"), F.translate("key", "<>", "><")).otherwise(F.col("key"))
+    left = fresh.select("key", F.col("form").alias("x"), F.coalesce("said", "form").alias("said_x"))
+    right = keyed.select(mate.alias("key"), F.col("form").alias("y"), F.coalesce("said", "form").alias("said_y"))
+    hot = materialize(right.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS), "hot")
+    n_hot = hot.count()
+    if n_hot:
+        hot = hot.select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("salts"))
+        hot = F.broadcast(hot) if n_hot <= 100_000 else hot
+        one = F.lit(1)
+        left = left.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", one) - 1))).drop("salts")
+        right = right.join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64("y"), F.coalesce("salts", one).cast("long")).cast("int")).drop("salts")
+    both = left.join(right, ["key", "salt"] if n_hot else ["key"]).where("x != y")
+    turned = F.col("x") > F.col("y")
+    pick = lambda a, b: F.when(turned, F.col(b)).otherwise(F.col(a))
+    return both.select(pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("said_x", "said_y").alias("said_a"), pick("said_y", "said_x").alias("said_b")).distinct()
+
+
+def _agreeing(tied: DataFrame, strong: DataFrame, marks: DataFrame) -> DataFrame:
+    """(a, b): ties of rows, and those matches of spellings by which no profile gets conflicting initials.
+
+    marks: (node, mark), the initials beside a full name. First what has no initials merges among itself, and
+    what has them where it matched; these profiles union their initials. A profile without then merges with
+    matching ones only if all of those share an initial; else it fits several people and stays alone.
+    """
+    has = marks.select("node").distinct()
+    left = has.withColumnRenamed("node", "a").withColumn("ma", F.lit(True))
+    right = has.withColumnRenamed("node", "b").withColumn("mb", F.lit(True))
+    sided = materialize(strong.join(left, "a", "left").join(right, "b", "left").select("a", "b", F.coalesce("ma", F.lit(False)).alias("ma"), F.coalesce("mb", F.lit(False)).alias("mb")), "sided")
+    sure = materialize(tied.unionByName(sided.where("ma = mb").select("a", "b")), "sure")
+    mixed = sided.where("ma != mb").select("a", "b")
+    if mixed.limit(1).count() == 0:
+        return sure
+    comps = connected_components(sure)
+    of = lambda side: comps.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
+    ends = mixed.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    ends = ends.select(F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")).where("la != lb").distinct()
+    profile = marks.join(comps, "node", "left").select(F.coalesce("label", "node").alias("label"), "mark").distinct()
+    profile = materialize(profile.groupBy("label").agg(F.collect_set("mark").alias("marks")), "profiles")  # letters
+    known = ends.join(profile.select(F.col("label").alias("la"), F.col("marks").alias("m1")), "la", "left")
+    known = materialize(known.join(profile.select(F.col("label").alias("lb"), F.col("marks").alias("m2")), "lb", "left"), "known")
+    both = known.where("m1 is not null and m2 is not null and arrays_overlap(m1, m2)").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    bare = known.where("m1 is null and m2 is not null").select(F.col("la").alias("e"), F.col("lb").alias("m"), F.col("m2").alias("marks"))
+    bare = bare.unionByName(known.where("m2 is null and m1 is not null").select(F.col("lb").alias("e"), F.col("la").alias("m"), F.col("m1").alias("marks"))).distinct()
+    fits = bare.groupBy("e").agg(F.count("*").alias("n"))
+    shared = bare.select("e", F.explode("marks").alias("mark")).groupBy("e", "mark").agg(F.count("*").alias("k")).groupBy("e").agg(F.max("k").alias("k"))
+    good = fits.join(shared, "e").where("n = k").select("e")
+    merged = bare.join(good, "e", "left_semi").select(F.col("e").alias("a"), F.col("m").alias("b"))
+    return sure.unionByName(both).unionByName(merged)
+
+
 def _agreed(doubt: DataFrame, resolved: DataFrame) -> DataFrame:
     """(form): aliases of which more than half of the rows are one entity."""
     groups = doubt.join(resolved, "id", "left").groupBy("form", "entity").agg(F.count("*").alias("n"))
@@ -175,8 +241,9 @@ def _agreed(doubt: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 def _recombined(named: DataFrame, keyed: DataFrame, lex) -> DataFrame:  # noqa: ANN001
-    """New (form, key) rows: keys of a surname of one spelling with a given name of another one of
-    the same profile. Nothing comes out once every combination has been a key."""
+    """New (form, key, said) rows: keys of a surname of one spelling with a given name of another one of
+    the same profile, with that combination, which is what is then compared. Nothing comes out once
+    every combination has been a key."""
     sizes = named.groupBy("label").agg(F.count("*").alias("n")).where("n > 1")
     parts = named.join(sizes, "label").select("label", "form")
 
@@ -199,14 +266,18 @@ def _recombined(named: DataFrame, keyed: DataFrame, lex) -> DataFrame:  # noqa:
 
     def mix_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(f, k) for f, m in zip(pdf["form"], pdf["mix"]) for k in names.keys(names.parsed(m, lex.value), lex.value) if k.startswith(("p|", "f|", "g|", "h|"))]
-            yield pd.DataFrame(out, columns=["form", "key"])
+            out = [(f, k, m) for f, m in zip(pdf["form"], pdf["mix"]) for k in names.keys(names.parsed(m, lex.value), lex.value) if k.startswith(("p|", "f|", "g|", "h|"))]
+            yield pd.DataFrame(out, columns=["form", "key", "said"])
 
-    return mixed.mapInPandas(mix_keys, "form string, key string").distinct().join(keyed, ["form", "key"], "left_anti")
+    made = mixed.mapInPandas(mix_keys, _KEYED).groupBy("form", "key").agg(F.min("said").alias("said"))
+    return made.join(keyed, ["form", "key"], "left_anti")
 
 
 def pairs(resolved: DataFrame) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: all pairs of rows of one entity, as the result is defined."""
-    a = resolved.select("entity", F.col("id").alias("id_a"))
-    b = resolved.select("entity", F.col("id").alias("id_b"))
-    return a.join(b, "entity").where("id_a < id_b").select("id_a", "id_b")
+    """(id_a, id_b), id_a < id_b: all pairs of rows of one entity, as the result is defined. An entity's
+    rows are spread in blocks on one side and repeated for each block on the other."""
+    sizes = resolved.groupBy("entity").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    some = resolved.join(sizes, "entity")
+    a = some.select("entity", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int").alias("block"), F.col("id").alias("id_a"))
+    b = some.select("entity", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("id_b"))
+    return a.join(b, ["entity", "block"]).where("id_a < id_b").select("id_a", "id_b")

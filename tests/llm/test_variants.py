@@ -96,3 +96,27 @@ def test_frequent_alias_of_one_thing_links(spark):
     df = spark.createDataFrame(rows, "id long, name string, aliases_json string")
     got = sorted((r.id_a, r.id_b) for r in variants.pairs(variants.resolve(df)).collect())
     assert got == sorted([*itertools.combinations([0, 1, 2, 3, 4, 9], 2), *itertools.combinations(range(20, 25), 2)])
+
+
+def test_conflicting_initials_stay_apart(spark):
+    rows = [(1, "Kenneth A. Echfahavski"), (2, "Kenneth Echfahavski"), (3, "Kenneth B. Echfahavski"), (4, "Kennet Echfahavski"),  # two people, and no one knows whose 2 and 4 are
+            (11, "Petra C. Zimnagol"), (12, "Petra Zimnagol"), (13, "Petra C. Zimnagool"), (14, "Zimnagol, Petra")]  # one person
+    df = spark.createDataFrame([(i, n, "[]") for i, n in rows], "id long, name string, aliases_json string")
+    got = sorted((r.id_a, r.id_b) for r in variants.pairs(variants.resolve(df)).collect())
+    assert got == sorted([(2, 4), *itertools.combinations(range(11, 15), 2)])
+
+
+def test_merged_profiles_are_compared(spark):
+    """No spelling of the first row fits the last one, but what the merged profile's parts combine to does."""
+    rows = [(1, "Robert Corsemonkin", '["Robert Corsemonkine"]'), (2, "Bob Corsemonkin", "[]"), (3, "Bob Corsemonkinee", "[]")]
+    df = spark.createDataFrame(rows, "id long, name string, aliases_json string")
+    assert variants.pairs(variants.resolve(df)).count() == 3
+
+
+def test_hot_blocks_and_entities(spark, monkeypatch):
+    """Spread blocks give the same pairs."""
+    rows = [(i, f"{a}{b} Corsemonkin", "[]") for i, (a, b) in enumerate(itertools.product(("Robert", "Bob", "Rob", "Emanuel"), ("", ".", ",", " -", "  ")))]
+    df = spark.createDataFrame(rows, "id long, name string, aliases_json string")
+    want = sorted(map(tuple, variants.pairs(variants.resolve(df)).collect()))
+    monkeypatch.setattr(variants, "BLOCK_ROWS", 2)
+    assert sorted(map(tuple, variants.pairs(variants.resolve(df)).collect())) == want and len(want) > 60
