@@ -266,7 +266,10 @@ def _recombined(named: DataFrame, keyed: DataFrame, lex) -> DataFrame:  # noqa:
 
     def mix_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(f, k, m) for f, m in zip(pdf["form"], pdf["mix"]) for k in names.keys(names.parsed(m, lex.value), lex.value) if k.startswith(("p|", "f|", "g|", "h|"))]
+            known = lex.value
+            # a combination that doesn't fit the spelling it is made from took a given name for a surname
+            good = [(f, m) for f, m in zip(pdf["form"], pdf["mix"]) if names.compare(names.parsed(f, known), names.parsed(m, known), known) == 2]
+            out = [(f, k, m) for f, m in good for k in names.keys(names.parsed(m, known), known) if k.startswith(("p|", "f|", "g|", "h|"))]
             yield pd.DataFrame(out, columns=["form", "key", "said"])
 
     made = mixed.mapInPandas(mix_keys, _KEYED).groupBy("form", "key").agg(F.min("said").alias("said"))
