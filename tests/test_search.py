@@ -93,3 +93,25 @@ def test_diversify_equals_greedy_choice(spark):
     for r in ranking.diversify(df, 10, "q", "g").orderBy("q", "rank").collect():
         got.setdefault(r.q, []).append(r.id)
     assert got == want
+
+
+def test_keyword_operators(spark):
+    docs = spark.createDataFrame([(1, "Alpha beta"), (2, "alpha gamma"), (3, "delta"), (4, None), (5, "")], "id long, text string")
+    asked = {
+        1: ("alpha NOT beta", {2}), 2: ("beta OR delta", {1, 3}), 3: ("alp* AND gamma", {2}), 4: ("NOT alpha", set()), 5: ("NOT alpha OR delta", {3}),
+        6: ("alpha OR alpha", {1, 2}), 7: ("OR", set()), 8: ("al", set()), 9: ("alpha gamma NOT gamma", set()), 10: ("alpha - beta", set()), 11: ("", set()),
+        12: ("alpha or beta", {1}),  # small letters make no operator, and "or" is too short to be a word
+    }
+    queries = spark.createDataFrame([(i, q) for i, (q, _) in asked.items()] + [(99, None)], "query_id long, q string")
+    got = ranking.bm25(docs, queries, "id", "text", "query_id", "q").collect()
+    assert {i: {r.id for r in got if r.query_id == i} for i in asked} == {i: want for i, (_, want) in asked.items()}
+    assert not [r for r in got if r.query_id == 99]
+
+
+def test_counts_above(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [1.0])]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    asked = spark.createDataFrame([(10, [1.0, 0.0]), (11, [-1.0, 0.0]), (12, None)], "query_id long, embedding array<float>")
+    got = {r.query_id: r.above for r in vectors.count_above(df, asked, 0.7, dim=2).collect()}
+    assert got == {10: 2}
+    assert vectors.count_above(df.limit(0), asked, 0.7, dim=2).count() == vectors.count_above(df, asked.limit(0), 0.7, dim=2).count() == 0
