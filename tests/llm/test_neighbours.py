@@ -16,7 +16,7 @@ def _exact(v, k, least=-1.0):
     np.fill_diagonal(s, -9)
     out = {}
     for i in range(len(v)):
-        order = sorted(range(len(v)), key=lambda j: (-round(s[i, j], 9), j))[:k]
+        order = np.argsort(-np.round(s[i], 9), kind="stable")[:k].tolist()
         out[i] = [j for j in order if s[i, j] >= least and j != i]
     return out
 
