@@ -73,6 +73,12 @@ def fingerprint(index: dict, provider: str, model: str, dimensions: int = 0) ->
     return "dimensions differ" if dimensions and known and dimensions != known else None
 
 
+def url_host(url: Column) -> Column:
+    """Host of an address in small letters, without user and port; '' if there is none. Any text will do, an address of
+    other letters or invisible characters too, which parse_url() refuses with an error or null."""
+    return F.lower(F.regexp_extract(url, r"^[a-z]+://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/:?#]+)", 1))
+
+
 def private_host(host: Column) -> Column:
     """Is it an address of the own machine or network? A missing host counts as one."""
     low = F.lower(host)

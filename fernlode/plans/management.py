@@ -315,7 +315,7 @@ _SQL_PRIVATE = (
 def url_hosts(spark: SparkSession, d: str) -> DataFrame:
     url = F.regexp_extract("normalized_text", r"^---\nsource: (\S+)", 1)
     rows = table(spark, d, "documents").where("fmt = 'web'").select("doc_id", url.alias("url")).where("url != ''")
-    host = F.parse_url("url", F.lit("HOST"))
+    host = tx.url_host(F.col("url"))
     return rows.select("doc_id", "url", host.alias("host"), tx.private_host(host).alias("private"), (F.col("url").rlike("^https?://") & ~tx.private_host(host)).alias("fetchable"))
 
 

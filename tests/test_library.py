@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fernlode import session
 from fernlode.functions import text
 from fernlode.library import Library
+from fernlode.plans import management
 from fernlode.sources import files, tables
 from fernlode.streaming.ingest import ingest_stream, status_counts_stream
 
@@ -141,3 +142,20 @@ def test_converters(tmp_path):
     page = files.html_markdown("<html><head><title>T</title><script>x()</script></head><body><nav>menu</nav><p>One two</p><ul><li>a</li></ul></body></html>", "https://a.example/")
     assert page.startswith("---\nsource: https://a.example/") and "# T" in page and "One two" in page and "- a" in page and "menu" not in page
     assert os.path.exists(tmp_path / "a.docx")
+
+
+def test_hosts_of_odd_addresses(spark):
+    """Addresses that Java's parser refuses, or has no host for."""
+    want = {
+        "https://A.Example:80/x": "a.example", "http\u200es://a.test/b": "", "https://www.a\u200b.example/w": "www.a\u200b.example", "https://a.ex\u0430mple/": "a.ex\u0430mple",
+        "https://a_b.test?x": "a_b.test", "http://me@127.0.0.1/": "127.0.0.1", "http://[::1]:80/": "[::1]", "https://a.test/%zz[": "a.test", "no address": "", "https://": "",
+    }
+    df = spark.createDataFrame([(u,) for u in want], "u string")
+    assert {r.u: r.h for r in df.select("u", text.url_host(F.col("u")).alias("h")).collect()} == want
+
+
+def test_url_hosts_of_odd_addresses(spark, tmp_path):
+    rows = [(1, "web", "---\nsource: http\u200es://a.test/b\n---\n"), (2, "web", "---\nsource: https://a.ex\u0430mple/c\n---\n"), (3, "web", "none")]
+    spark.createDataFrame(rows, "doc_id long, fmt string, normalized_text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.host, r.private, r.fetchable) for r in management.url_hosts(spark, str(tmp_path)).collect()}
+    assert got == {1: ("", True, False), 2: ("a.ex\u0430mple", False, True)}
