@@ -10,10 +10,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fernlode.operators.best import Best
+
 #: Query vectors that are sent to the tasks at once; more of them go in several rounds.
 QUERY_BLOCK = 8192
 #: Queries that a task multiplies with a batch at once.
 STRIPE = 256
+#: More than rounding to 6 places changes.
+EDGE = 1e-6
+#: Number of a stripe's first query, ids of a batch's rows, similarities.
+Stripe = tuple[int, np.ndarray, np.ndarray]
 
 
 def usable(vector: str, dim: int) -> Column:
@@ -34,6 +40,14 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def _stripes(batches: Iterator[pa.RecordBatch], q_unit: np.ndarray, dim: int) -> Iterator[Stripe]:
+    for batch in batches:
+        if batch.num_rows:
+            row_ids, unit = batch.column(0).to_numpy(), _unit(_matrix(batch.column(1), dim))
+            for a in range(0, len(q_unit), STRIPE):
+                yield a, row_ids, q_unit[a : a + STRIPE] @ unit.T
+
+
 def cosine_top_k(
     vectors: DataFrame,
     queries: DataFrame,
@@ -48,19 +62,24 @@ def cosine_top_k(
 
     Similarities are rounded to 6 places; ties go to the lower id. Vectors that are null, zero, of
     another length or with null entries take no part, as rows or as queries; ids may be any long.
-    Every batch of rows keeps only its own k best of each query before anything is shuffled.
+    Every task keeps only its own k best of each query before anything is shuffled.
     """
 
-    def best(q_ids: np.ndarray, row_ids: np.ndarray, s: np.ndarray) -> list[np.ndarray]:
-        if s.shape[1] > k:  # all that tie with the k-th best stay
-            least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-            keep = s >= np.maximum(least, min_similarity)[:, None]
-        else:
-            keep = s >= min_similarity
-        x, y = np.nonzero(keep)
-        return [q_ids[x], row_ids[y], s[x, y]]
-
-    found = _products(vectors, queries, id_col, query_col, vector_col, dim, best)
+    def run(q_ids: np.ndarray, stripes: Iterator[Stripe]) -> Iterator[list[np.ndarray]]:
+        best = Best(len(q_ids), k, min_similarity)
+        for a, row_ids, s in stripes:
+            least = best.floor[a : a + STRIPE, None] - EDGE
+            keep = s >= least
+            many = np.flatnonzero(np.count_nonzero(keep, axis=1) > 4 * k)
+            if len(many):  # all that may tie with the k-th best of the batch stay
+                part = s[many]
+                keep[many] &= part >= np.partition(part, part.shape[1] - k, axis=1)[:, [part.shape[1] - k]] - EDGE
+            x, y = np.nonzero(keep)
+            best.add(x + a, np.round(s[x, y], 6), row_ids[y])
+        q, s, ids = best.best()
+        yield [q_ids[q], ids, s]
+
+    found = _products(vectors, queries, id_col, query_col, vector_col, dim, run)
     if not found:
         return queries.sparkSession.createDataFrame([], f"{query_col} long, {id_col} long, similarity double, rank int")
     scored = reduce(DataFrame.unionByName, found)
@@ -81,21 +100,23 @@ def count_above(
     """(query_col, above): how many rows are at least so similar to each query that has any; counts
     of a batch, not its hits, are shuffled. Vectors and rounding as in cosine_top_k()."""
 
-    def count(q_ids: np.ndarray, row_ids: np.ndarray, s: np.ndarray) -> list[np.ndarray]:
-        n = (s >= min_similarity).sum(axis=1)
-        some = np.flatnonzero(n)
-        return [q_ids[some], n[some].astype(np.int64), np.zeros(len(some))]
+    def run(q_ids: np.ndarray, stripes: Iterator[Stripe]) -> Iterator[list[np.ndarray]]:
+        for a, _, s in stripes:
+            n = (np.round(s, 6) >= min_similarity).sum(axis=1)
+            some = np.flatnonzero(n)
+            yield [q_ids[a + some], n[some].astype(np.int64), np.zeros(len(some))]
 
-    found = _products(vectors, queries, id_col, query_col, vector_col, dim, count)
+    found = _products(vectors, queries, id_col, query_col, vector_col, dim, run)
     if not found:
         return queries.sparkSession.createDataFrame([], f"{query_col} long, above long")
     return reduce(DataFrame.unionByName, found).groupBy(F.col("q").alias(query_col)).agg(F.sum("id").alias("above"))
 
 
 def _products(
-    vectors: DataFrame, queries: DataFrame, id_col: str, query_col: str, vector_col: str, dim: int, take: Callable[..., list[np.ndarray]]
-) -> list[DataFrame]:
-    """What take(query ids, row ids, similarities) makes of every stripe of queries and batch of rows, as (q, id, similarity)."""
+    vectors: DataFrame, queries: DataFrame, id_col: str, query_col: str, vector_col: str, dim: int,
+    take: Callable[[np.ndarray, Iterator[Stripe]], Iterator[list[np.ndarray]]],
+) -> list[DataFrame]:
+    """What take(query ids, stripes) makes of a task's similarities, as (q, id, similarity)."""
     rows = vectors.where(usable(vector_col, dim)).select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")
     )
@@ -115,16 +136,7 @@ def _products(
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             q_ids, q_unit = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                row_ids = batch.column(0).to_numpy()
-                unit = _unit(_matrix(batch.column(1), dim))
-                out = [
-                    take(q_ids[a : a + STRIPE], row_ids, np.round(q_unit[a : a + STRIPE] @ unit.T, 6))
-                    for a in range(0, len(q_ids), STRIPE)
-                ]
-                cols = [np.concatenate(c) for c in zip(*out)]
+            for cols in take(q_ids, _stripes(batches, q_unit, dim)):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["q", "id", "similarity"])
 
         found.append(rows.mapInArrow(run, "q long, id long, similarity double"))

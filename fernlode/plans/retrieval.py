@@ -86,9 +86,9 @@ def _vector_route(spark: SparkSession, d: str) -> DataFrame:
 
 def _keyword_route(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks").select(F.col("id").alias("chunk_id"), "text")
-    scored = ranking.bm25(chunks, _asked(spark, d), "chunk_id", "text", "query_id", "query_text")
-    done = _done_chunks(spark, d).select("chunk_id")
-    return ranking.ranked(scored.join(done, "chunk_id"), "query_id", "score", "chunk_id", limit=3 * search_settings(spark, d)["topK"])
+    done, k = _done_chunks(spark, d).select("chunk_id"), 3 * search_settings(spark, d)["topK"]
+    scored = ranking.bm25(chunks, _asked(spark, d), "chunk_id", "text", "query_id", "query_text", among=done, limit=k)
+    return ranking.ranked(scored, "query_id", "score", "chunk_id", limit=k)
 
 
 def _routes(spark: SparkSession, d: str, switches: dict[str, bool]) -> dict[str, DataFrame]:
@@ -108,8 +108,7 @@ def _switches(spark: SparkSession, d: str, **changed: bool) -> dict[str, bool]:
 
 def _entity_hits(spark: SparkSession, d: str) -> DataFrame:
     entities = table(spark, d, "entities").where("graph_role = 'keep'").select(F.col("id").alias("entity_id"), "embedding")
-    top = vectors.cosine_top_k(entities, _asked(spark, d), ranking.ENTITY_HITS, "entity_id")
-    return top.where(F.col("similarity") >= ranking.ENTITY_SIMILARITY)
+    return vectors.cosine_top_k(entities, _asked(spark, d), ranking.ENTITY_HITS, "entity_id", min_similarity=ranking.ENTITY_SIMILARITY)
 
 
 @query(
@@ -238,9 +237,10 @@ def _hybrid(spark: SparkSession, d: str, **changed: bool) -> DataFrame:
     if not switches["graph"]:
         return out
     hits = _entity_hits(spark, d).select("query_id", "entity_id")
-    counts = ranking.graph_route(hits, table(spark, d, "relations"), table(spark, d, "chunk_entities"), "query_id")
-    done = _done_chunks(spark, d).select("chunk_id")
-    fresh = counts.join(done, "chunk_id").join(main.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    members = table(spark, d, "chunk_entities").join(_done_chunks(spark, d).select("chunk_id"), "chunk_id", "left_semi")
+    most = ranking.APPENDED + search_settings(spark, d)["topK"]  # a query has topK chunks in main at most
+    counts = ranking.graph_route(hits, table(spark, d, "relations"), members, "query_id", limit=most)
+    fresh = counts.join(main.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     tail = ranking.ranked(fresh, "query_id", F.desc("n"), "chunk_id", limit=ranking.APPENDED)
     return out.unionByName(
         tail.select(

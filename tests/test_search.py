@@ -215,3 +215,29 @@ def test_keyword_scores_by_limit_and_rows(spark):
     for q in queries:
         first = sorted((s, i) for (x, i), s in got.items() if x == q and i % 3 == 0)[:6]
         assert [best[q, n] for n in range(1, len(first) + 1)] == [(i, s) for s, i in first]
+
+
+def test_cosine_sends_the_best_of_a_task(spark, monkeypatch):
+    """Ties over many batches: exact, and a task sends k rows of a query at most, however many batches it reads."""
+    import random
+
+    rnd = random.Random(2)
+    rows = [(i, [rnd.randint(-2, 2) + 0.0, rnd.randint(-2, 2) + 0.0, 1.0]) for i in range(600)]
+    asked = [(q, [float(q), 1.0, 0.5]) for q in range(-3, 3)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(2, "id")
+    sent, products = [], vectors._products
+    monkeypatch.setattr(vectors, "_products", lambda *a: sent.extend(products(*a)) or sent)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "25")
+    try:
+        for least in (-1.0, 0.4):
+            sent.clear()
+            out = vectors.cosine_top_k(df, spark.createDataFrame(asked, V), 5, dim=3, min_similarity=least)
+            got = _rows(out, "query_id", "rank", "id", "similarity")
+            assert sum(x.count() for x in sent) <= 2 * 5 * len(asked)
+            want = []
+            for q, v in asked:
+                s = sorted((-round(sum(map(float.__mul__, v, r)) / math.hypot(*v) / math.hypot(*r), 6), i) for i, r in rows)
+                want += [(q, n, i, -x) for n, (x, i) in enumerate(s[:5], 1) if -x >= least]
+            assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 2e-6 for g, w in zip(got, want))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
