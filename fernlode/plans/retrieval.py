@@ -328,7 +328,7 @@ FROM hits JOIN chunks c ON c.id = hits.chunk_id JOIN documents d ON d.doc_id = c
 def result_lines(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks").select(F.col("id").alias("chunk_id"), "document_id", "title_path", "start_offset", "end_offset")
     documents = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "name")
-    shown = F.when(F.col("similarity").isNull(), "BM25").otherwise(F.format_string("%.4f", F.round("similarity", 4)))
+    shown = ranking.shown(F.col("similarity"))
     line = F.format_string(
         "%d. [%s] [%s] %s · %s · %d-%d", "rank", "source", shown, "name", "title_path", "start_offset", "end_offset"
     )

@@ -241,3 +241,13 @@ def test_cosine_sends_the_best_of_a_task(spark, monkeypatch):
             assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 2e-6 for g, w in zip(got, want))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_shown_similarity_as_in_sql(spark):
+    import duckdb
+
+    values = [n / 1e6 for n in range(300_050, 1_000_000, 100)] + [0.58515, 0.50755, -0.58515, 0.0, 1.0, None]
+    df = spark.createDataFrame([(v,) for v in values], "similarity double")
+    got = [r[0] for r in df.select(ranking.shown(df.similarity)).collect()]
+    want = [duckdb.execute("select printf('%.4f', round(?::double, 4))", [v]).fetchone()[0] if v is not None else "BM25" for v in values]
+    assert got == want and got[-6] == "0.5851"
