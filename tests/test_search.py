@@ -1,6 +1,8 @@
 import math
 import sqlite3
 
+from pyspark.sql import functions as F
+
 from fernlode.operators import ranking, vectors
 
 V = "query_id long, embedding array<float>"
@@ -251,3 +253,22 @@ def test_shown_similarity_as_in_sql(spark):
     got = [r[0] for r in df.select(ranking.shown(df.similarity)).collect()]
     want = [duckdb.execute("select printf('%.4f', round(?::double, 4))", [v]).fetchone()[0] if v is not None else "BM25" for v in values]
     assert got == want and got[-6] == "0.5851"
+
+
+def test_hybrid_routes_send_a_bounded_number_of_chunks(spark, monkeypatch):
+    """Of each route, a task hands on no more chunks of a query than its result can show."""
+    import os
+
+    import pytest
+    from fernlode.plans import retrieval
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    seen = {}
+    for name in ("bm25", "graph_route"):
+        monkeypatch.setattr(ranking, name, lambda *a, f=getattr(ranking, name), n=name, **k: seen.setdefault(n, f(*a, **k)))
+    retrieval.hybrid_search_diverse(spark, folder)
+    for name, most in (("bm25", 30), ("graph_route", 15)):
+        per = seen[name].withColumn("task", F.spark_partition_id()).groupBy("task", "query_id").count().collect()
+        assert per and max(r["count"] for r in per) <= most
