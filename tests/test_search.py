@@ -272,3 +272,17 @@ def test_hybrid_routes_send_a_bounded_number_of_chunks(spark, monkeypatch):
     for name, most in (("bm25", 30), ("graph_route", 15)):
         per = seen[name].withColumn("task", F.spark_partition_id()).groupBy("task", "query_id").count().collect()
         assert per and max(r["count"] for r in per) <= most
+
+
+def test_rounds_of_many_queries(spark, monkeypatch):
+    """Queries that go to the tasks in several rounds get the same rows."""
+    docs = spark.createDataFrame([(i, f"alpha{i % 3} beta{i % 5}") for i in range(40)], "id long, text string")
+    asked = spark.createDataFrame([(q, f"alpha{q % 3} OR beta{q % 5} NOT alpha1") for q in range(12)], "query_id long, q string")
+    hits = spark.createDataFrame([(q, q % 7) for q in range(12)], "query_id long, entity_id long")
+    rel = spark.createDataFrame([(1, 2), (3, 9)], "source_entity_id long, target_entity_id long")
+    held = spark.createDataFrame([(c, c % 10) for c in range(50)], "chunk_id long, entity_id long")
+    once = [_rows(ranking.bm25(docs, asked, "id", "text", "query_id", "q"), "query_id", "id", "score"), _rows(ranking.graph_route(hits, rel, held, "query_id"), "query_id", "chunk_id", "n")]
+    monkeypatch.setattr(ranking, "WORD_BLOCK", 9)
+    monkeypatch.setattr(ranking, "WIDE_BLOCK", 4)
+    again = [_rows(ranking.bm25(docs, asked, "id", "text", "query_id", "q"), "query_id", "id", "score"), _rows(ranking.graph_route(hits, rel, held, "query_id"), "query_id", "chunk_id", "n")]
+    assert once[0] and once[1] and once == again
