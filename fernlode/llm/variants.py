@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernlode.llm import names
-from fernlode.operators.components import connected_components
+from fernlode.operators.components import merged_labels
 from fernlode.session import materialize
 
 #: Spellings of a block, or rows of an entity, that one key of a join holds.
@@ -86,12 +86,12 @@ def resolve(
     """
     spark = df.sparkSession
     rows = materialize(spellings(df, id_col, name_col, aliases_col), "spellings")
-    forms = rows.select("form").distinct()
+    forms = materialize(rows.select("form").distinct().withColumn("node", F.xxhash64("form")), "forms")
     owned = rows.where("own").select("form").distinct()
     often = rows.where("not own").groupBy("form").agg(F.count_distinct("id").alias("n")).where(F.col("n") > DOUBTED_ROWS)
     doubted = materialize(often.join(owned, "form", "left_anti").select("form"), "doubted")
     doubt = None
-    if doubted.limit(1).count():
+    if not doubted.isEmpty():
         doubt = materialize(rows.where("not own").join(doubted, "form").select("id", "form").distinct(), "doubt")
         rows = materialize(rows.join(doubted, "form", "left_anti").select("id", "form", "own"), "spellings")
     n = forms.count()
@@ -108,11 +108,21 @@ def resolve(
             yield pd.DataFrame([(f, x[0]) for f, n in found if n.kind == "p" for x in set(n.initials)], columns=["form", "mark"])
 
     @F.pandas_udf("int")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        known = lex.value
-        return pd.Series([names.compare(names.parsed(x, known), names.parsed(y, known), known) for x, y in zip(a, b)], dtype="int32")
-
-    spread = forms.repartition(max(spark.sparkContext.defaultParallelism, n // KEY_ROWS))
+    def alike(a: pd.Series, b: pd.Series, said_a: pd.Series, said_b: pd.Series) -> pd.Series:
+        """0: not alike; 2: the same; 3: the same, and one of the two has initials; -1 and 1: a and b has initials alone, which fit."""
+        known, out = lex.value, []
+        for x, y, s, t in zip(a, b, said_a, said_b):
+            score = names.compare(names.parsed(s, known), names.parsed(t, known), known)
+            if score:
+                x, y = names.parsed(x, known), names.parsed(y, known)
+                if score == 1:
+                    score = -1 if x.kind == "q" else 1
+                else:
+                    score = 2 + ((x.kind == "p" and bool(x.initials)) != (y.kind == "p" and bool(y.initials)))
+            out.append(score)
+        return pd.Series(out, dtype="int32")
+
+    spread = forms.select("form").repartition(max(spark.sparkContext.defaultParallelism, n // KEY_ROWS))
     keyed = materialize(spread.mapInPandas(key_rows, _KEYED), "keys")
     marks = materialize(spread.mapInPandas(mark_rows, "form string, mark string").select(F.xxhash64("form").alias("node"), "mark"), "marks")
     # spellings of one row are one profile from the start
@@ -120,57 +130,50 @@ def resolve(
     tied = own.join(rows.where("not own").select("id", F.col("form").alias("b")), "id").select("a", "b")
     lone = rows.where("not own").join(own, "id", "left_anti").groupBy("id").agg(F.min("form").alias("a"))
     tied = tied.unionByName(rows.join(lone, "id").where("form != a").select("a", F.col("form").alias("b")))
-    label = forms.select("form", F.xxhash64("form").alias("node"))
-    tied = materialize(tied.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")), "tied")
-    strong = None
+    links = tied.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+    sure = forms.select("node", F.col("node").alias("label"))
     fresh = keyed
-    weak = None
-    seen = None
+    state = matches = seen = None
     while True:
         pairs = _blocked(fresh, keyed)
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b", "said_a", "said_b"], "left_anti")
-        scored = materialize(pairs.withColumn("score", alike("said_a", "said_b")), "scored")
+        scored = materialize(pairs.withColumn("score", alike("a", "b", "said_a", "said_b")), "scored")
         done = scored.select("a", "b", "said_a", "said_b")
         seen = done if seen is None else seen.unionByName(done)
-        some = scored.where("score = 2").select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
-        strong = materialize((some if strong is None else strong.unionByName(some)).distinct(), "strong")
-        some = scored.where("score = 1").select("a", "b")
-        weak = some if weak is None else weak.unionByName(some)
-        edges = materialize(_agreeing(tied, strong, marks), "links")
-        while True:  # initials whose fitting profiles have all become one
-            comps = connected_components(edges)
-            named = label.join(comps, "node", "left").select("form", F.coalesce("label", "node").alias("label"))
-            sided = weak.join(named.select(F.col("form").alias("a"), F.col("label").alias("la")), "a").join(
-                named.select(F.col("form").alias("b"), F.col("label").alias("lb")), "b"
-            )
-            @F.pandas_udf("boolean")
-            def short(a: pd.Series) -> pd.Series:
-                return pd.Series([names.parsed(x, lex.value).kind == "q" for x in a])
-
-            turned = sided.select(
-                F.when(short("a"), F.col("la")).otherwise(F.col("lb")).alias("q"),
-                F.when(short("a"), F.col("lb")).otherwise(F.col("la")).alias("p"),
-            ).where("q != p")
-            single = turned.groupBy("q").agg(F.min("p").alias("p"), F.max("p").alias("p2")).where("p = p2")
-            joined = materialize(single.select(F.col("q").alias("a"), F.col("p").alias("b")), "joined")
-            if joined.limit(1).count() == 0:
-                break
-            edges = materialize(edges.unionByName(joined), "links")
-        # profiles that grew: their spellings' parts recombine into new keys
-        grown = materialize(_recombined(named, keyed, lex), "grown")
-        fresh = grown
-        if grown.limit(1).count() == 0:
-            named = materialize(named, "named")
-            resolved = rows.join(named, "form").groupBy("id").agg(F.min("label").alias("entity"))
+        found = scored.where("score != 0").select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"), "score")
+        if matches is not None:
+            found = found.join(matches, ["a", "b", "score"], "left_anti")
+        found = materialize(found, "found")
+        matches = found if matches is None else matches.unionByName(found)
+        links = links.unionByName(found.where("score = 2").select("a", "b"))
+        merged = merged_labels(sure, links if state is None else _between(links, sure))
+        if state is not None and merged is sure and found.where("score != 2").isEmpty():
+            grown = grown.limit(0)  # profiles are as before, so all their combinations are keys
+        else:
+            sure = merged
+            state = _agreeing(sure, matches.where("score = 3").select("a", "b"), marks)
+            weak = matches.where("abs(score) = 1").select(F.expr("if(score = -1, a, b)").alias("q"), F.expr("if(score = -1, b, a)").alias("p"))
+            while True:  # initials whose fitting profiles have all become one
+                turned = _between(weak, state, "q", "p").where("q != p")
+                single = turned.groupBy("q").agg(F.min("p").alias("p"), F.max("p").alias("p2")).where("p = p2")
+                joined = merged_labels(state, single.select(F.col("q").alias("a"), F.col("p").alias("b")))
+                if joined is state:
+                    break
+                state = joined
+            named = forms.join(state, "node").select("form", "label")
+            # profiles that grew: their spellings' parts recombine into new keys
+            grown = materialize(_recombined(named, keyed, lex), "grown")
+        fresh, links = grown, links.limit(0)
+        if grown.isEmpty():
+            resolved = materialize(rows.join(named, "form").groupBy("id").agg(F.min("label").alias("entity")), "resolved")
             if doubt is None:
                 return resolved
             agreed = materialize(_agreed(doubt, resolved), "agreed")
-            if agreed.limit(1).count() == 0:
+            if agreed.isEmpty():
                 return resolved
             added = doubt.join(agreed, "form")
-            ties = added.join(rows, "id").select(F.xxhash64(rows.form).alias("a"), F.xxhash64(added.form).alias("b"))
-            tied = materialize(tied.unionByName(ties), "tied")
+            links = added.join(rows, "id").select(F.xxhash64(rows.form).alias("a"), F.xxhash64(added.form).alias("b"))
             rows = materialize(rows.unionByName(added.select("id", "form", F.lit(False).alias("own"))), "spellings")
             doubt = materialize(doubt.join(agreed, "form", "left_anti"), "doubt")
         keyed = materialize(keyed.unionByName(grown), "keys")
@@ -200,37 +203,34 @@ def _blocked(fresh: DataFrame, keyed: DataFrame) -> DataFrame:
     return both.select(pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("said_x", "said_y").alias("said_a"), pick("said_y", "said_x").alias("said_b")).distinct()
 
 
-def _agreeing(tied: DataFrame, strong: DataFrame, marks: DataFrame) -> DataFrame:
-    """(a, b): ties of rows, and those matches of spellings by which no profile gets conflicting initials.
+def _between(links: DataFrame, labels: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(a, b): the labels of both ends of each link."""
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
+    return links.join(of(a), a).join(of(b), b).select(F.col(f"label_{a}").alias(a), F.col(f"label_{b}").alias(b))
+
+
+def _agreeing(sure: DataFrame, mixed: DataFrame, marks: DataFrame) -> DataFrame:
+    """(node, label): the profiles of sure, merged by those mixed matches by which none gets conflicting initials.
 
-    marks: (node, mark), the initials beside a full name. First what has no initials merges among itself, and
-    what has them where it matched; these profiles union their initials. A profile without then merges with
-    matching ones only if all of those share an initial; else it fits several people and stays alone.
+    marks: (node, mark), the initials beside a full name. What has no initials has merged among itself, and
+    what has them where it matched, into the profiles of sure, which union their initials. A profile without
+    then merges with those that match it by mixed (a, b), one side of which has initials, only if all of
+    those share an initial; else it fits several people and stays alone.
     """
-    has = marks.select("node").distinct()
-    left = has.withColumnRenamed("node", "a").withColumn("ma", F.lit(True))
-    right = has.withColumnRenamed("node", "b").withColumn("mb", F.lit(True))
-    sided = materialize(strong.join(left, "a", "left").join(right, "b", "left").select("a", "b", F.coalesce("ma", F.lit(False)).alias("ma"), F.coalesce("mb", F.lit(False)).alias("mb")), "sided")
-    sure = materialize(tied.unionByName(sided.where("ma = mb").select("a", "b")), "sure")
-    mixed = sided.where("ma != mb").select("a", "b")
-    if mixed.limit(1).count() == 0:
+    if mixed.isEmpty():
         return sure
-    comps = connected_components(sure)
-    of = lambda side: comps.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
-    ends = mixed.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    ends = ends.select(F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")).where("la != lb").distinct()
-    profile = marks.join(comps, "node", "left").select(F.coalesce("label", "node").alias("label"), "mark").distinct()
-    profile = materialize(profile.groupBy("label").agg(F.collect_set("mark").alias("marks")), "profiles")  # letters
-    known = ends.join(profile.select(F.col("label").alias("la"), F.col("marks").alias("m1")), "la", "left")
-    known = materialize(known.join(profile.select(F.col("label").alias("lb"), F.col("marks").alias("m2")), "lb", "left"), "known")
-    both = known.where("m1 is not null and m2 is not null and arrays_overlap(m1, m2)").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    bare = known.where("m1 is null and m2 is not null").select(F.col("la").alias("e"), F.col("lb").alias("m"), F.col("m2").alias("marks"))
-    bare = bare.unionByName(known.where("m2 is null and m1 is not null").select(F.col("lb").alias("e"), F.col("la").alias("m"), F.col("m1").alias("marks"))).distinct()
-    fits = bare.groupBy("e").agg(F.count("*").alias("n"))
-    shared = bare.select("e", F.explode("marks").alias("mark")).groupBy("e", "mark").agg(F.count("*").alias("k")).groupBy("e").agg(F.max("k").alias("k"))
-    good = fits.join(shared, "e").where("n = k").select("e")
-    merged = bare.join(good, "e", "left_semi").select(F.col("e").alias("a"), F.col("m").alias("b"))
-    return sure.unionByName(both).unionByName(merged)
+    ends = _between(mixed, sure).where("a != b").distinct()
+    # letters
+    profile = materialize(marks.join(sure, "node").groupBy("label").agg(F.collect_set("mark").alias("marks")), "profiles")
+    known = ends.join(profile.select(F.col("label").alias("a"), F.col("marks").alias("m1")), "a", "left")
+    known = materialize(known.join(profile.select(F.col("label").alias("b"), F.col("marks").alias("m2")), "b", "left"), "known")
+    both = known.where("m1 is not null and m2 is not null and arrays_overlap(m1, m2)").select("a", "b")
+    bare = known.where("(m1 is null) != (m2 is null)").select(F.expr("if(m1 is null, a, b)").alias("e"), F.expr("if(m1 is null, b, a)").alias("m"), F.coalesce("m1", "m2").alias("marks")).distinct()
+    # the empty mark counts all that match
+    each = bare.select("e", F.explode(F.array_append("marks", F.lit(""))).alias("mark")).groupBy("e", "mark").agg(F.count("*").alias("n"))
+    most = lambda which: F.max(F.when(which, F.col("n")))
+    good = each.groupBy("e").agg(most(F.col("mark") == "").alias("n"), most(F.col("mark") != "").alias("k")).where("n = k").select("e")
+    return merged_labels(sure, both.unionByName(bare.join(good, "e", "left_semi").select(F.col("e").alias("a"), F.col("m").alias("b"))))
 
 
 def _agreed(doubt: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -259,7 +259,7 @@ def _recombined(named: DataFrame, keyed: DataFrame, lex) -> DataFrame:  # noqa:
                         out.append((lab, form, name.words[i], name.words[1 - i]))
             yield pd.DataFrame(out, columns=["label", "form", "surname", "given"])
 
-    pieces = parts.mapInPandas(split, "label long, form string, surname string, given string")
+    pieces = materialize(parts.mapInPandas(split, "label long, form string, surname string, given string"), "pieces")
     surnames = pieces.groupBy("label", "surname").agg(F.min("form").alias("form"))
     givens = pieces.select("label", "given").distinct()
     mixed = surnames.join(givens, "label").select("form", F.concat_ws(" ", "given", "surname").alias("mix")).distinct()

@@ -1,8 +1,10 @@
 import itertools
+import random
 
 import pytest
 
 from fernlode.llm import names, variants
+from fernlode.operators import components
 
 
 @pytest.fixture(scope="module")
@@ -120,3 +122,38 @@ def test_hot_blocks_and_entities(spark, monkeypatch):
     want = sorted(map(tuple, variants.pairs(variants.resolve(df)).collect()))
     monkeypatch.setattr(variants, "BLOCK_ROWS", 2)
     assert sorted(map(tuple, variants.pairs(variants.resolve(df)).collect())) == want and len(want) > 60
+
+
+def test_merged_labels(spark, monkeypatch):
+    """One task and rounds of joins give the same labels, those of all edges at once."""
+    rand = random.Random(1)
+    nodes = [rand.randint(-(2**63), 2**63 - 1) for _ in range(60)]
+    first, more = ([tuple(rand.sample(nodes, 2)) for _ in range(n)] for n in (25, 20))
+    want = {n: n for n in nodes}
+    for a, b in first + more:
+        low, high = sorted((want[a], want[b]))
+        want = {n: low if x == high else x for n, x in want.items()}
+    start = spark.createDataFrame([(n, n) for n in nodes], "node long, label long")
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    for few in (100_000, 0):
+        monkeypatch.setattr(components, "FEW_EDGES", few)
+        labels = components.merged_labels(start, frame(first))
+        of = {r.node: r.label for r in labels.collect()}
+        labels = components.merged_labels(labels, frame([(of[a], of[b]) for a, b in more + more]))
+        assert {r.node: r.label for r in labels.collect()} == want
+        assert components.merged_labels(labels, frame([(n, n) for n in nodes])) is labels
+
+
+def test_jobs_of_resolution(spark):
+    """What the driver holds for a query follows the number of its jobs, so that is bounded."""
+    rows = [(1, "Robert Corsemonkin", '["Robert Corsemonkine"]'), (2, "Bob Corsemonkin", "[]"), (3, "Bob Corsemonkinee", "[]"), (4, "R. Corsemonkin", "[]"),
+            (5, "Petra C. Zimnagol", "[]"), (6, "Petra Zimnagol", "[]"), (7, "P. Zimnagol", "[]")]
+    df = spark.createDataFrame(rows, "id long, name string, aliases_json string")
+    spark.sparkContext.setJobGroup("resolution", "")
+    try:
+        got = sorted((r.id_a, r.id_b) for r in variants.pairs(variants.resolve(df)).collect())
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+    assert got == sorted([*itertools.combinations(range(1, 5), 2), *itertools.combinations(range(5, 8), 2)])
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("resolution"))
+    assert 0 < jobs < 160
